@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import bpe, quota_sample, splits, stable_sample
+from . import bpe, history, quota_sample, splits, stable_sample
 
 
 def _quota(spark, d):
@@ -11,6 +11,8 @@ def _quota(spark, d):
 
 
 QUERIES = {
+    "p1_found": history.rejected,
+    "p1_accepted": lambda spark, d: history.checked(table(spark, d, "manifest"))[0],
     "p2_found": lambda spark, d: stable_sample.wrong_scores(table(spark, d, "manifest")),
     "p2_sample": lambda spark, d: stable_sample.sample(table(spark, d, "manifest")),
     "p2_sample_up_to_batch_4": lambda spark, d: stable_sample.sample(table(spark, d, "manifest"), up_to_batch=4),
