@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from ..session import table
-from . import bpe, history, quota_sample, splits, stable_sample
+from . import bpe, history, mixture, quota_sample, splits, stable_sample, truncation
 
 
 def _quota(spark, d):
     return quota_sample.QuotaSample(table(spark, d, "annotations"), table(spark, d, "manifest"), table(spark, d, "sample_plan"))
 
 
+def _mixture(spark, d):
+    return mixture.Mixture(table(spark, d, "documents"), table(spark, d, "source_weight"))
+
+
 QUERIES = {
     "p1_found": history.rejected,
     "p1_accepted": lambda spark, d: history.checked(table(spark, d, "manifest"))[0],
@@ -23,6 +27,10 @@ QUERIES = {
     "p4_splits": lambda spark, d: splits.GroupSplits(table(spark, d, "manifest")).assigned(),
     "p6_ids": lambda spark, d: bpe.encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids"),
     "p6_decoded": lambda spark, d: bpe.decode(bpe.encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")).select("doc_id", "decoded"),
+    "p7_documents": lambda spark, d: _mixture(spark, d).documents_used(),
+    "p7_shares": lambda spark, d: _mixture(spark, d).report(),
+    "p8_found": lambda spark, d: truncation.cut_documents(table(spark, d, "documents")),
+    "p8_sources": lambda spark, d: truncation.by_source(table(spark, d, "documents")),
 }
 
 _SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
