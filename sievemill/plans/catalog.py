@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import nested
+from . import evaluation, nested
 
-MODULES = [nested]
+MODULES = [nested, evaluation]
 
 
 def queries() -> dict:
