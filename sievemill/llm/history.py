@@ -17,23 +17,13 @@ different hash values become links, so no group is expanded into its pairs.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normal import hash_long, hash_value, normal_group_key
+from ..operators.conflicts import HOT_CELL, LOCAL_ROWS, cells_of, keep_first, near_links, placed_in_cells
 from ..session import Workspace, hadoop_path, table
 
-RADIUS = 4
-# Fixed values: (lowest bit, bits) of the RADIUS + 1 bands.
-BANDS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
-#: Vectors in a cell from which on it is refined.
-HOT_CELL = 1024
-#: Nodes and links of one batch's conflicts up to which they are settled in one task; above, in rounds over all executors.
-LOCAL_ROWS = 200_000
-
 INDEX = "cell bigint, dhash bigint, pixel binary, sample_id string, batch_no int, kind string"
 
 
@@ -48,30 +38,6 @@ def records(manifest: DataFrame) -> DataFrame:
     return rows.groupBy("sample_id", "batch_no").agg(F.min("pixel").alias("pixel"), F.min("dhash").alias("dhash"))
 
 
-def _bits(value: Column, low: int, n: int) -> Column:
-    return F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << n) - 1))
-
-
-def cells_of(dhash: Column) -> Column:
-    """Array of the cells of a vector: band number and the band's bits."""
-    return F.array(*[_bits(dhash, low, n) + F.lit(i << 13) for i, (low, n) in enumerate(BANDS)])
-
-
-def _finer_cells(cell: Column, dhash: Column) -> Column:
-    """Array of the five cells into which a hot cell is split: bands of the bits outside its own."""
-    outside = F.lit(None).cast("bigint")
-    for i, (low, n) in enumerate(BANDS):
-        rest = F.shiftrightunsigned(dhash, low + n) if low + n < 64 else F.lit(0).cast("bigint")
-        below = dhash.bitwiseAND(F.lit((1 << low) - 1))
-        outside = F.when(F.shiftright(cell, 13) == i, F.shiftleft(rest, low).bitwiseOR(below)).otherwise(outside)
-    cuts = [(0, 10), (10, 10), (20, 10), (30, 10), (40, 12)]
-    return F.array(*[F.shiftleft(cell * 5 + j + F.lit(1 << 20), 12).bitwiseOR(_bits(outside, low, n)) for j, (low, n) in enumerate(cuts)])
-
-
-def _distance(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
 def record_type() -> str:
     return "struct<" + ",".join(":".join(x.split()) for x in INDEX.split(", ")) + ">"
 
@@ -118,76 +84,15 @@ class AcceptedHistory:
             nodes = nodes.join(self._index("pixel", "pixel"), "pixel", "left_anti").join(links.filter("old").select(F.col("a").alias("dhash")), "dhash", "left_anti")
         links = links.filter(~F.col("old")).select("a", "b")
         rows = hashed.agg(F.count("*").alias("n")).union(links.agg(F.count("*"))).agg(F.sum("n")).head()[0]
-        if rows > self.local_rows:
-            nodes = self.work.save(nodes, f"nodes-{name}")
-            involved = self.work.save(self._involved(nodes, links), f"involved-{name}")
-            kept = self._accepted(involved, links, involved.count() + links.count(), name)
-            apart = nodes.join(involved.select("key"), "key", "left_anti")
-            nodes = apart.select("pixel", "dhash", "sample_id", "batch_no").unionByName(kept.select("pixel", "dhash", "sample_id", "batch_no"))
-        else:
-            nodes = self._accepted(nodes, links, rows, name).select("pixel", "dhash", "sample_id", "batch_no")
+        nodes = keep_first(nodes, links, rows, self.work, name, self.local_rows).select("pixel", "dhash", "sample_id", "batch_no")
         self._append(nodes, free)
         for kind in ("links", "nodes", "involved"):
             self.work.drop(f"{kind}-{name}")
 
     def _links(self, hashed: DataFrame) -> DataFrame:
-        """(a, b, old): a vector of the batch and one within the radius, which is accepted (old) or a larger one of the batch."""
-        own = hashed.select("dhash").filter(F.col("dhash").isNotNull()).distinct()
-        new = own.select(F.explode(cells_of(F.col("dhash"))).alias("cell"), "dhash")
-        listed = new.withColumn("old", F.lit(False))
-        if self.begun:
-            listed = listed.unionByName(self._index("vector", "cell", "dhash").withColumn("old", F.lit(True)))
-        # One row a cell, of which there are 4 * 2^13 + 2^12 = 36,864.
-        sizes = listed.groupBy("cell").agg(F.count("*").alias("size"))
-        hot = F.broadcast(sizes.filter(F.col("size") > self.hot_cell).select("cell", F.lit(True).alias("hot")))
-
-        def placed(vectors: DataFrame) -> DataFrame:
-            flagged = vectors.join(hot, "cell", "left")
-            place = F.when(F.col("hot"), _finer_cells(F.col("cell"), F.col("dhash"))).otherwise(F.array("cell"))
-            return flagged.withColumn("cell", F.explode(place)).drop("hot")
-
-        probes = placed(new).withColumnRenamed("dhash", "a")
-        lists = placed(listed).withColumnRenamed("dhash", "b")
-        match = (_distance("a", "b") <= RADIUS) & (F.col("old") | (F.col("a") < F.col("b")))
-        return probes.join(lists, "cell").filter(match).select("a", "b", "old").distinct()
-
-    def _involved(self, nodes: DataFrame, links: DataFrame) -> DataFrame:
-        """The classes that share a hash with another one or lie within the radius of another one."""
-        shared = nodes.groupBy("pixel").count().filter("pixel IS NOT NULL AND count > 1").select("pixel", F.lit(True).alias("p"))
-        twice = nodes.groupBy("dhash").count().filter("dhash IS NOT NULL AND count > 1").select("dhash")
-        near = links.select(F.explode(F.array("a", "b")).alias("dhash")).union(twice).distinct().withColumn("d", F.lit(True))
-        return nodes.join(shared, "pixel", "left").join(near, "dhash", "left").filter(F.col("p") | F.col("d")).select(*nodes.columns)
-
-    def _accepted(self, nodes: DataFrame, links: DataFrame, rows: int, name: str) -> DataFrame:
-        """The classes that no accepted one of the same batch, earlier in order, rejects."""
-        if rows > self.local_rows:
-            return nodes.join(self._rounds(nodes.select("key", "pixel", "dhash"), links, name), "key", "left_semi")
-        # Bounded by local_rows, so one task can hold them.
-        one = F.lit(0).alias("one")
-        plain = nodes.withColumn("dhash", F.col("dhash").cast("string"))
-        kept = plain.select(one, *plain.columns).groupBy("one").cogroup(links.select(one, "a", "b").groupBy("one")).applyInPandas(_greedy, plain.schema)
-        return kept.withColumn("dhash", F.col("dhash").cast("bigint"))
-
-    def _rounds(self, undecided: DataFrame, links: DataFrame, name: str) -> DataFrame:
-        """(key) of the accepted classes. In each round those that no undecided one precedes are accepted and reject the others around them."""
-        both = links.union(links.select("b", "a"))
-        accepted = None
-        step = 0
-        while undecided.head(1):
-            step += 1
-            by_pixel = undecided.filter("pixel IS NOT NULL").groupBy("pixel").agg(F.min("key").alias("pixel_first"))
-            by_hash = undecided.filter("dhash IS NOT NULL").groupBy("dhash").agg(F.min("key").alias("first"))
-            around = both.join(by_hash, both["b"] == by_hash["dhash"]).select(F.col("a").alias("dhash"), "first").unionByName(by_hash).groupBy("dhash").agg(F.min("first").alias("hash_first"))
-            seen = undecided.join(by_pixel, "pixel", "left").join(around, "dhash", "left")
-            first = (F.coalesce("pixel_first", "key") == F.col("key")) & (F.coalesce("hash_first", "key") == F.col("key"))
-            heads = self.work.save(seen.filter(first).select("key", "pixel", "dhash"), f"heads-{name}-{step}")
-            hashes = heads.select("dhash").filter("dhash IS NOT NULL")
-            blocked = both.join(hashes, both["a"] == hashes["dhash"]).select(F.col("b").alias("dhash")).union(hashes).distinct()
-            pixels = heads.select("pixel").filter("pixel IS NOT NULL")
-            undecided = undecided.join(heads.select("key"), "key", "left_anti").join(pixels, "pixel", "left_anti").join(blocked, "dhash", "left_anti")
-            undecided = self.work.save(undecided.select("key", "pixel", "dhash"), f"undecided-{name}-{step}")
-            accepted = heads.select("key") if accepted is None else accepted.union(heads.select("key"))
-        return accepted if accepted is not None else undecided.select("key")
+        """(a, b, old): a hash of the batch and one within the radius, which is accepted (old) or a larger one of the batch."""
+        new = placed_in_cells(hashed.select("dhash").filter("dhash IS NOT NULL").distinct())
+        return near_links(new, self._index("vector", "cell", "dhash") if self.begun else None, self.hot_cell)
 
     def _append(self, accepted: DataFrame, free: DataFrame) -> None:
         """Append accepted records to the cells. One write, so that an index holds a batch wholly or not at all."""
@@ -206,28 +111,6 @@ class AcceptedHistory:
         self.begun = True
 
 
-def _greedy(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-    """The accepted ones of a batch's classes: in order, unless an accepted one has the same pixel hash or a hash within the radius."""
-    around: dict[int, list[int]] = defaultdict(list)
-    for a, b in zip(links["a"].tolist(), links["b"].tolist(), strict=True):
-        around[a].append(b)
-        around[b].append(a)
-    pixels, blocked, kept = set(), set(), []
-    # The hashes come as text, since pandas would make missing ones, and with them all, inexact.
-    nodes = nodes.drop(columns="one").sort_values("key")
-    for at, (pixel, dhash) in enumerate(zip(nodes["pixel"].tolist(), nodes["dhash"].tolist(), strict=True)):
-        dhash = None if dhash is None else int(dhash)
-        if (pixel is not None and pixel in pixels) or (dhash is not None and dhash in blocked):
-            continue
-        kept.append(at)
-        if pixel is not None:
-            pixels.add(pixel)
-        if dhash is not None:
-            blocked.add(dhash)
-            blocked.update(around[dhash])
-    return nodes.iloc[kept]
-
-
 def checked(manifest: DataFrame, history: AcceptedHistory | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) records (sample_id, batch_no) of all batches, in the order of batch_no; a NULL batch_no comes last."""
     spark = manifest.sparkSession
