@@ -70,7 +70,7 @@ def best_overlap(p: Column, references: Column, coverage_weight: float = 0.5) ->
         coverage, iou = common / area(g), common / (area(p) + area(g) - common)
         return F.struct((F.pow(coverage, F.lit(coverage_weight)) * F.pow(iou, F.lit(1 - coverage_weight))).alias("reward"), coverage.alias("coverage"), iou.alias("iou"))
 
-    return F.when(is_box(p), F.array_max(F.transform(F.filter(references, is_box), one)))
+    return F.when(is_box(p), F.array_max(F.transform(F.filter(references, lambda g: is_box(g)), one)))
 
 
 def centre_box(box: Column) -> Column:

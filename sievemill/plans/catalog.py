@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, nested
+from . import datasets, evaluation, labels, nested, texts
 
-MODULES = [nested, evaluation]
+MODULES = [nested, datasets, labels, evaluation, texts]
 
 
 def queries() -> dict:
