@@ -13,6 +13,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Tags, the tool's name and its argument, box coordinates' range, wrappers of an answer.
 THINK, ANSWER, CALL = ("<think>", "</think>"), ("<answer>", "</answer>"), ("<tool_call>", "</tool_call>")
@@ -20,7 +21,8 @@ TOOL, ARGUMENT, SPAN = "request_local_region", "bbox_2d", 1000
 WRAPPERS = ["\\boxed{", "\\fbox{"]
 TURN = re.compile(r"<think>(?P<think>.*?)</think>\s*(?:<answer>(?P<answer>.*?)</answer>|<tool_call>(?P<call>.*?)</tool_call>)\s*", re.S)
 
-RESULT = "kind string, valid boolean, has_think boolean, answer string, bbox array<double>, error string"
+_TYPES = {"kind": T.StringType(), "valid": T.BooleanType(), "has_think": T.BooleanType(), "answer": T.StringType(), "bbox": T.ArrayType(T.DoubleType()), "error": T.StringType()}
+RESULT = T.StructType([T.StructField(n, t) for n, t in _TYPES.items()])
 
 
 def says_something(text: str | None) -> bool:
@@ -102,7 +104,7 @@ def parse(text: str | None, tool_allowed: bool = True, width: float = SPAN, heig
 @F.pandas_udf(RESULT)
 def _parsed(text: pd.Series, allowed: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
     rows = [parse(t, bool(a), w, h) for t, a, w, h in zip(text, allowed, width, height, strict=True)]
-    return pd.DataFrame(rows, columns=["kind", "valid", "has_think", "answer", "bbox", "error"])
+    return pd.DataFrame(rows, columns=list(_TYPES))
 
 
 def parsed(text: Column | str, tool_allowed: Column | bool = True, width: Column | float = SPAN, height: Column | float = SPAN) -> Column:

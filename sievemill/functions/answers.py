@@ -14,6 +14,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Grammars of a plain number, and of a benchmark's number (commas gone).
 PLAIN_NUMBER = re.compile(r"[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:e[+-]?\d+)?")
@@ -111,32 +112,37 @@ def benchmark_score(dataset: str | None, question_type: str | None, prediction:
     return False, "unmatched"
 
 
+def _verdict(name: str) -> T.StructType:
+    """A type object, as a DDL string could be read on the driver only."""
+    return T.StructType([T.StructField(name, T.BooleanType()), T.StructField("method", T.StringType())])
+
+
 def _list(values) -> list:
     return [] if values is None else list(values)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normal_text_of(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else normal_text(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def plain_number_of(text: pd.Series) -> pd.Series:
     """The number as text, since its exponent may exceed every numeric type; NULL if the text is none."""
     return text.map(lambda t: None if t is None or (n := plain_number(t)) is None else str(n))
 
 
-@F.pandas_udf("match boolean, method string")
+@F.pandas_udf(_verdict("match"))
 def _match_of(prediction: pd.Series, answers: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([match(p, _list(a)) for p, a in zip(prediction, answers, strict=True)], columns=["match", "method"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _credit_of(prediction: pd.Series, answers: pd.Series) -> pd.Series:
     return pd.Series([partial_credit(p, _list(a)) for p, a in zip(prediction, answers, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("correct boolean, method string")
+@F.pandas_udf(_verdict("correct"))
 def _score_of(dataset: pd.Series, kind: pd.Series, prediction: pd.Series, answers: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([benchmark_score(d, k, p, _list(a)) for d, k, p, a in zip(dataset, kind, prediction, answers, strict=True)], columns=["correct", "method"])
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import datasets, evaluation, labels, nested, texts
+from . import datasets, evaluation, labels, nested, streams, texts
 
-MODULES = [nested, datasets, labels, evaluation, texts]
+MODULES = [nested, datasets, labels, evaluation, texts, streams]
 
 
 def queries() -> dict:
