@@ -64,12 +64,15 @@ def near_links(new: DataFrame, old: DataFrame | None = None, hot_cell: int = HOT
     listed = new.withColumn("old", F.lit(False))
     if old is not None:
         listed = listed.unionByName(old.withColumn("old", F.lit(True)))
-    # One row a cell, of which there are 4 * 2^13 + 2^12 = 36,864.
-    sizes = listed.groupBy("cell").agg(F.count("*").alias("size"))
-    hot = F.broadcast(sizes.filter(F.col("size") > hot_cell).select("cell", F.lit(True).alias("hot")))
+    # Cells are 4 * 2^13 + 2^12 = 36,864, so what is collected and broadcast here is bounded.
+    sizes = listed.groupBy("cell").agg(F.count("*").alias("size")).filter(F.col("size") > hot_cell)
+    hot = [(r["cell"],) for r in sizes.collect()]
 
     def placed(vectors: DataFrame) -> DataFrame:
-        flagged = vectors.join(hot, "cell", "left")
+        if not hot:
+            return vectors
+        cells = new.sparkSession.createDataFrame(hot, "cell bigint").withColumn("hot", F.lit(True))
+        flagged = vectors.join(F.broadcast(cells), "cell", "left")
         place = F.when(F.col("hot"), _finer_cells(F.col("cell"), F.col("dhash"))).otherwise(F.array("cell"))
         return flagged.withColumn("cell", F.explode(place)).drop("hot")
 
