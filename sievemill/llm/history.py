@@ -17,7 +17,7 @@ different hash values become links, so no group is expanded into its pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normal import hash_long, hash_value, normal_group_key
@@ -67,25 +67,28 @@ class AcceptedHistory:
         """(sample_id, batch_no) of the accepted records."""
         return self._index("record", "sample_id", "batch_no")
 
-    def check(self, batch: DataFrame) -> None:
+    def check(self, batch: DataFrame, records: int | None = None) -> None:
         """Decide the records (sample_id, batch_no, pixel, dhash) of one batch and append the accepted ones.
 
+        ``records`` is their number, where it is known.
+
         A record with neither hash equals nothing and is accepted. A NULL sample_id comes first.
         """
         self.steps += 1
         name = f"{self.steps}"
         hashed = batch.filter(F.col("pixel").isNotNull() | F.col("dhash").isNotNull())
         free = batch.filter(F.col("pixel").isNull() & F.col("dhash").isNull()).select("sample_id", "batch_no")
-        links = self.work.save(self._links(hashed), f"links-{name}")
+        found = Observation()
+        links = self.work.save(self._links(hashed).observe(found, F.count("*").alias("n")), f"links-{name}")
         # Records equal in both hashes: whatever becomes of the first one rejects the others.
         first = F.min(F.struct(F.coalesce("sample_id", F.lit("")).alias("key"), "sample_id", "batch_no"))
         nodes = hashed.groupBy("pixel", "dhash").agg(first.alias("first")).select("pixel", "dhash", "first.*")
         if self.begun:
             nodes = nodes.join(self._index("pixel", "pixel"), "pixel", "left_anti").join(links.filter("old").select(F.col("a").alias("dhash")), "dhash", "left_anti")
         links = links.filter(~F.col("old")).select("a", "b")
-        rows = hashed.agg(F.count("*").alias("n")).union(links.agg(F.count("*"))).agg(F.sum("n")).head()[0]
+        rows = (batch.count() if records is None else records) + found.get["n"]
         nodes = keep_first(nodes, links, rows, self.work, name, self.local_rows).select("pixel", "dhash", "sample_id", "batch_no")
-        self._append(nodes, free)
+        self._append(nodes, free, 1 if rows <= self.local_rows else int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         for kind in ("links", "nodes", "involved"):
             self.work.drop(f"{kind}-{name}")
 
@@ -94,7 +97,7 @@ class AcceptedHistory:
         new = placed_in_cells(hashed.select("dhash").filter("dhash IS NOT NULL").distinct())
         return near_links(new, self._index("vector", "cell", "dhash") if self.begun else None, self.hot_cell)
 
-    def _append(self, accepted: DataFrame, free: DataFrame) -> None:
+    def _append(self, accepted: DataFrame, free: DataFrame, files: int) -> None:
         """Append accepted records to the cells. One write, so that an index holds a batch wholly or not at all."""
         null = lambda kind: F.lit(None).cast(kind)
 
@@ -107,7 +110,7 @@ class AcceptedHistory:
         none = F.array().cast(f"array<{record_type()}>")
         entries = accepted.select(F.inline(F.concat(record, F.coalesce(vectors, none), F.coalesce(pixels, none))))
         rows = entries.unionByName(free.select(F.inline(record)))
-        rows.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))).write.mode("append").partitionBy("kind").parquet(self.index_path)
+        rows.coalesce(files).write.mode("append").partitionBy("kind").parquet(self.index_path)
         self.begun = True
 
 
@@ -116,9 +119,9 @@ def checked(manifest: DataFrame, history: AcceptedHistory | None = None) -> tupl
     spark = manifest.sparkSession
     history = history or AcceptedHistory(spark)
     staged = history.work.save(records(manifest), "records", partition_by=["batch_no"])
-    numbers = sorted((r[0] for r in staged.select("batch_no").distinct().collect()), key=lambda n: (n is None, n))
-    for n in numbers:
-        history.check(staged.filter(F.col("batch_no").eqNullSafe(F.lit(n).cast("int"))))
+    sizes = {r["batch_no"]: r["n"] for r in staged.groupBy("batch_no").agg(F.count("*").alias("n")).collect()}
+    for n in sorted(sizes, key=lambda n: (n is None, n)):
+        history.check(staged.filter(F.col("batch_no").eqNullSafe(F.lit(n).cast("int"))), sizes[n])
     accepted = history.accepted().withColumnRenamed("sample_id", "s").withColumnRenamed("batch_no", "n")
     same = staged["sample_id"].eqNullSafe(accepted["s"]) & staged["batch_no"].eqNullSafe(accepted["n"])
     return history.accepted(), staged.join(accepted, same, "left_anti").select("sample_id", "batch_no")
