@@ -32,6 +32,10 @@ TAGS = ["think", "answer", "tool_call"]
 KNOWN, FREQUENT = 6, 20
 #: Part of the occurrences inside texts that may be followed by a stop, and that may be final, for a cut.
 RARELY = 0.02
+#: Part that may be final if the last two words decide alone, since the trigram is rare.
+RARELY_PAIR = 0.005
+#: Final occurrences for each one before a stop from which on a text may as well end there without it.
+UNSTOPPED = 0.003
 #: Part of the occurrences that are final for an ending of its own.
 ENDING = 0.15
 #: A final word counts as cut if so many times more longer words begin with it.
@@ -105,7 +109,7 @@ def verdicts(grams: DataFrame, keys: DataFrame) -> DataFrame:
     """(w1, w2, w3, mid_word, mid_sentence, ending, stopping) of the distinct final trigrams.
 
     mid_word: the last word is the beginning of longer ones. mid_sentence: frequent inside, hardly ever before
-    a stop or at an end. ending: often at an end. stopping: often before a stop.
+    a stop or at an end. ending: often at an end. stopping: often before a stop, and sometimes at an end instead.
     """
     keys = keys.select("w1", "w2", "w3").distinct()
     all_counts = keys
@@ -115,14 +119,18 @@ def verdicts(grams: DataFrame, keys: DataFrame) -> DataFrame:
     together = F.col("inner3") + F.col("final3") + F.col("longer3") >= KNOWN
     several = together | (F.col("inner2") + F.col("final2") + F.col("longer2") >= KNOWN)
     ending = several & (final >= 2) & (final >= ENDING * (inner + final + longer))
+    own = {3: 1, 2: 0}  # the text's own end says nothing about its trigram, but two words alone need more proof
+    inside = lambda n, part: (F.col(f"inner{n}") >= FREQUENT) & (F.col(f"stopped{n}") < RARELY * F.col(f"inner{n}")) & (F.col(f"final{n}") - own[n] < part * F.col(f"inner{n}"))
+    rare = (F.col("inner3") < FREQUENT) & (F.col("final3") <= 1)
+    stopping = several & (stopped >= 0.3 * (inner + 1)) & (final >= 2) & (final >= UNSTOPPED * stopped)
     return all_counts.select(
         "w1",
         "w2",
         "w3",
         ending.alias("ending"),
         (~ending & (longer >= LONGER * (inner + 1)) & (longer > 3 * final)).alias("mid_word"),
-        (~ending & several & (inner >= FREQUENT) & (stopped < RARELY * inner) & (final < RARELY * inner)).alias("mid_sentence"),
-        (several & (stopped >= 0.3 * (inner + 1))).alias("stopping"),
+        (~ending & (inside(3, RARELY) | (rare & inside(2, RARELY_PAIR)))).alias("mid_sentence"),
+        stopping.alias("stopping"),
     )
 
 
