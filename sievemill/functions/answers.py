@@ -104,7 +104,7 @@ def benchmark_score(dataset: str | None, question_type: str | None, prediction:
             return True, "ocrbench_substring"
     elif dataset == "MathVerse":
         letters = [c for c in (normal_text(a).strip().upper() for a in answers) if len(c) == 1 and c in CHOICES]
-        if question_type == "multi-choice" and any(re.fullmatch(rf"(?:option|choice|answer(?: is)?)\s*[::]?\s*{c}", own, re.I) for c in letters):
+        if question_type == "multi-choice" and any(re.fullmatch(rf"(?:option|choice|answer(?: is)?)\s*[:\uff1a]?\s*{c}", own, re.I) for c in letters):
             return True, "mathverse_choice_letter"
         number = loose_number(prediction)
         if number is not None and number in [loose_number(a) for a in answers]:
