@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 
 from ..session import Workspace
 
-# Fixed value: a word of the trigrams.
-WORD = r"[\p{IsHan}]|\p{Nd}+(?:[.,:]\p{Nd}+)*|[\p{L}\p{M}'&&[^\p{IsHan}]]+|\n+|\S"
+# A number, and a word of the trigrams once numbers are 0 and line breaks single.
+NUMBER = r"\p{Nd}+(?:[.,:]\p{Nd}+)*"
+WORD = r"\p{IsHan}|0|[\p{L}\p{M}'&&[^\p{IsHan}]]+|\n|\S"
 # Characters that end a sentence or line; white space; what a cut may leave behind.
-STOPS = [".", "!", "?", "。", "!", "?", "\n"]
-BLANKS = " \t\r\n\f\v      　​﻿" + "".join(chr(c) for c in range(0x2000, 0x200B))
+STOPS = [".", "!", "?", "\u3002", "\uff01", "\uff1f", "\n"]
+BLANKS = " \t\r\n\f\v\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(chr(c) for c in range(0x2000, 0x200C))
 MARKS = ["[...]", "[…]", "...", "…"]
-LOST = "�"
+LOST = "\ufffd"
 TAGS = ["think", "answer", "tool_call"]
 
 #: Occurrences from which a trigram's counts are believed, and those that make it frequent.
@@ -50,8 +51,8 @@ TAIL = 240
 
 def words(text: Column) -> Column:
     """The words of a text; numbers as 0, line breaks as one."""
-    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    return F.transform(found, lambda w: F.when(w.rlike(r"^\p{Nd}"), "0").when(w.startswith("\n"), "\n").otherwise(w))
+    plain = F.regexp_replace(F.regexp_replace(text, NUMBER, "0"), r"\n\s*", "\n")
+    return F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))
 
 
 def _ends(text: Column, size: int) -> Column:
