@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_score
 from ..functions.normal import hash_long, hash_value, normal_flag, normal_group_key
 from ..session import Workspace
 from . import conflicts
+from .sequence import sequence_number
 
 COLUMNS = ["group_key", "pixel", "dhash", "flag", "source_key", "source_row_id", "sample_id"]
 
@@ -140,22 +141,24 @@ def splits(manifest: DataFrame, counts: dict[str, int], seed: int, quotas: dict[
 
 
 def replacements(manifest: DataFrame, invalid: DataFrame, seed: int, label: str = "train-replacement", rank_seed: int | None = None) -> DataFrame:
-    """SMP04, JOI12: for each invalid sample (sample_id, flag) a fresh row of its flag, everything known being out of bounds.
+    """SMP04, JOI12: for each invalid sample (sample_id, flag) a fresh row of its flag, everything known being out of bounds, the invalid samples too.
 
     Old and new are paired by position: old ones by sample_id, new ones in hash order. Columns old_sample_id, sample_id, flag, selection_score.
+    An error tells of a flag with fewer fresh rows than invalid samples.
     """
     work = Workspace(manifest.sparkSession, "replacement")
     rows = candidates(manifest)
     gone = work.save(invalid.select("sample_id", "flag").distinct(), "invalid")
     quotas = {r["flag"]: r["count"] for r in gone.groupBy("flag").count().collect()}
     occupied = Occupied(work)
-    history = rows.join(manifest.filter("batch_no = 0").select("sample_id").distinct(), "sample_id", "left_semi")
+    known = manifest.filter("batch_no = 0").select("sample_id").union(gone.select("sample_id")).distinct()
+    history = rows.join(known, "sample_id", "left_semi")
     occupied.add(work.save(history.select("group_key", "pixel", "dhash").distinct(), "history"))
     fresh = representatives(rows.filter("source_key = 'smart_train'"), seed if rank_seed is None else rank_seed)
     new = choose_quotas(fresh, quotas, seed, label, occupied)
-    rank = lambda order: F.row_number().over(Window.partitionBy("flag").orderBy(order))  # noqa: E731  as many rows as are replaced
-    old = gone.withColumn("n", rank("sample_id")).withColumnRenamed("sample_id", "old_sample_id")
-    return old.join(new.withColumn("n", rank("selection_score")), ["flag", "n"]).select("old_sample_id", "sample_id", "flag", "selection_score")
+    old = sequence_number(gone, ["flag"], [F.col("sample_id")], "n").withColumnRenamed("sample_id", "old_sample_id")
+    new = sequence_number(new, ["flag"], [F.col("selection_score")], "n")
+    return old.join(new, ["flag", "n"]).select("old_sample_id", "sample_id", "flag", "selection_score")
 
 
 def audit(rows: DataFrame) -> DataFrame:

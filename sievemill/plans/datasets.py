@@ -152,8 +152,8 @@ def audit(spark, d):
 
 def smp04(spark, d):
     rows = table(spark, d, "manifest").filter("replacement_meta IS NOT NULL AND sample_id IS NOT NULL")
-    few = rows.select("sample_id", F.coalesce(normal_flag("use_tool"), F.lit(False)).alias("flag")).groupBy("sample_id").agg(F.max("flag").alias("flag")).orderBy("sample_id").limit(4)
-    return selection.replacements(table(spark, d, "manifest"), few, SEED + 1, rank_seed=SEED)
+    invalid = rows.select("sample_id", F.coalesce(normal_flag("use_tool"), F.lit(False)).alias("flag")).groupBy("sample_id").agg(F.max("flag").alias("flag"))
+    return selection.replacements(table(spark, d, "manifest"), invalid, SEED + 1, rank_seed=SEED)
 
 
 def set04(spark, d):

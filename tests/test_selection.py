@@ -1,5 +1,6 @@
 """Selection against the sequential walk it replaces."""
 
+import hashlib
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievemill.functions.hashing import SEPARATOR
 from sievemill.operators import conflicts, sampling, selection
+from sievemill.plans import datasets
 from sievemill.session import Workspace
 
 SEED = 11
@@ -114,3 +116,39 @@ def test_samplers(spark):
     assert turns.count() == 58
     quotas = sampling.balanced_quotas(11, ["a", "b", "c"], 5)
     assert sum(quotas.values()) == 11 and max(quotas.values()) - min(quotas.values()) == 1
+
+
+def test_all_invalid_samples_are_replaced_as_in_the_walk(spark, tmp_path):
+    rng = random.Random(4)
+    base = [rng.getrandbits(63) for _ in range(60)]
+    columns = "sample_id string, group_key string, doc_id string, pixel_sha256 string, dhash string, use_tool string, source_key string, source_row_id bigint, batch_no int, replacement_meta struct<reason:string>"
+    rows = []
+    for i in range(160):
+        h = rng.choice(base) ^ (1 << rng.randrange(63))
+        invalid = 20 <= i < 40
+        batch = 0 if i < 20 else 1
+        rows.append((f"s{i:03d}", f"g{i if i % 7 else i // 2}", None, f"{rng.randrange(120):x}", f"{h:016x}", rng.choice(["true", "False"]), "smart_train", i, batch, ("bad",) if invalid else None))
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/manifest.parquet")
+    sha = lambda *parts: hashlib.sha256(SEPARATOR.join(map(str, parts)).encode()).hexdigest()
+
+    flag = {r[0]: r[5] == "true" for r in rows}
+    invalid = sorted(r[0] for r in rows if r[9])
+    held = [(r[1], r[3], int(r[4], 16)) for r in rows if r[8] == 0 or r[9]]
+    first = {}
+    for r in rows:
+        score = sha(datasets.SEED, r[6], r[1], r[7])
+        if r[1] not in first or score < first[r[1]][0]:
+            first[r[1]] = (score, r)
+    need = {f: sum(flag[s] == f for s in invalid) for f in (True, False)}
+    new = {True: [], False: []}
+    for _, r in sorted(first.values(), key=lambda x: sha(datasets.SEED + 1, "train-replacement", x[1][1])):
+        f, h = flag[r[0]], int(r[4], 16)
+        if len(new[f]) < need[f] and not any(r[1] == g or r[3] == p or near(h, d) for g, p, d in held):
+            held.append((r[1], r[3], h))
+            new[f].append(r[0])
+    assert len(invalid) == 20 and all(len(new[f]) == need[f] for f in need)
+    want = {(old, n, f) for f in need for old, n in zip([s for s in invalid if flag[s] == f], new[f], strict=True)}
+    got = datasets.smp04(spark, str(tmp_path)).collect()
+    assert {(r["old_sample_id"], r["sample_id"], r["flag"]) for r in got} == want and len(got) == 20
+    with pytest.raises(ValueError, match="only .* rows for train-replacement"):
+        selection.replacements(spark.read.parquet(f"{tmp_path}/manifest.parquet"), spark.createDataFrame([(r[0], True) for r in rows], "sample_id string, flag boolean"), SEED)
