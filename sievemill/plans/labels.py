@@ -41,7 +41,9 @@ def agg20(spark, d):
 
 
 def scl22(spark, d):
-    rows = _annotations(spark, d).select("annotation_id", F.get("region_annotation.reference_boxes", F.lit(0)).alias("p"), F.slice("region_annotation.reference_boxes", 2, 1000).alias("g")).filter(F.size("g") > 0)
+    boxes = F.col("region_annotation.reference_boxes")
+    others = F.slice(boxes, 2, F.greatest(F.size(boxes) - 1, F.lit(0)))
+    rows = _annotations(spark, d).select("annotation_id", F.get(boxes, F.lit(0)).alias("p"), others.alias("g")).filter(F.size("g") > 0)
     best = geometry.best_overlap(F.col("p"), F.filter("g", lambda b: b.isNotNull()))
     return rows.select("annotation_id", rounded(best["reward"]).alias("reward"), rounded(best["coverage"]).alias("coverage"), rounded(best["iou"]).alias("iou"))
 

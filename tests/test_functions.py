@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievemill.functions import actions, answers, geometry, normal, strata
 from sievemill.functions.hashing import stable_score
+from sievemill.plans import labels
 
 
 @pytest.mark.parametrize(
@@ -96,3 +97,13 @@ def test_strata(spark):
     df = spark.createDataFrame(rows, "q string, s array<bigint>")
     got = [tuple(r) for r in df.select(strata.question_family("q"), strata.area_bucket("s")).collect()]
     assert got == [("count", "small"), ("table", "medium"), ("other", None), ("math", None), (None, "very_large"), ("other", None), ("table", "large")]
+
+
+def test_all_references_are_compared(spark, tmp_path):
+    box = [0.1, 0.1, 0.3, 0.3]
+    rows = [("many", [box] + [[0.6, 0.6, 0.9, 0.9]] * 1000 + [box]), ("one", [box]), ("none", []), ("null", None)]
+    schema = "annotation_id string, region_annotation struct<reference_boxes:array<array<double>>>"
+    spark.createDataFrame([(i, (b,)) for i, b in rows], schema).write.parquet(f"{tmp_path}/annotations.parquet")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(labels, "_annotations", lambda s, d: s.read.parquet(f"{d}/annotations.parquet"))
+        assert [tuple(r) for r in labels.scl22(spark, str(tmp_path)).collect()] == [("many", 1.0, 1.0, 1.0)]
