@@ -1,4 +1,4 @@
-"""Deterministic samplers (SMP05-09, SMP11-15, AGG31, WIN05-07, WIN13).
+"""Deterministic samplers (SMP05-09, SMP11-14, AGG31, WIN05-07, WIN13).
 
 Ranks come from salted hashes, so a draw is the same in every run and partitioning. Draws that a sequential
 generator made are reproduced in contract (sizes, strata, uniqueness), not draw by draw, except the quotas
@@ -99,14 +99,59 @@ def yes_no_pairs(df: DataFrame, keys: list[str], image: str, answer: Column, id_
     return ranked(pairs, keys, "__image", seed).filter(F.col("rank") <= n).drop("__image", "digest")
 
 
-def distinct_versions(df: DataFrame, version: str, problem: str, id_column: str, versions: list[str], n: int, seed: int | str) -> DataFrame:
-    """SMP09, SMP15: ``n`` rows of each version, no problem used twice; versions in the order given."""
+def first_come(rows: DataFrame, unique: list[str], n: int, work: Workspace, name: str) -> DataFrame:
+    """The first ``n`` rows in the order of ``digest`` of which no two share a value of a ``unique`` column, as a walk finds them.
+
+    In each round the rows that come first for all of their values are kept and exclude the others with one of
+    them. No later round adds a row before the first undecided one, so it ends once ``n`` kept ones lie before.
+    """
+    order = F.struct("digest", *unique)
+    undecided = work.save(rows.select("digest", *unique).distinct().withColumn("place", order), f"{name}-0")
+    kept, step = undecided.limit(0), 0
+    while (first := undecided.agg(F.min("place").alias("p")).head()["p"]) is not None:
+        step += 1
+        seen = undecided
+        for c in unique:
+            seen = seen.join(undecided.groupBy(c).agg(F.min("place").alias(f"__{c}")), c)
+        heads = seen
+        for c in unique:
+            heads = heads.filter(F.col("place") == F.col(f"__{c}"))
+        heads = work.save(heads.select(undecided.columns), f"{name}-heads-{step}")
+        kept = kept.unionByName(heads)
+        left = undecided
+        for c in unique:
+            left = left.join(heads.select(c), c, "left_anti")
+        undecided = work.save(left.select(undecided.columns), f"{name}-{step}")
+        # n is the size of a sample.
+        ends = kept.orderBy("place").limit(n).agg(F.count("*").alias("n"), F.max("place.digest").alias("d")).head()
+        first = undecided.agg(F.min("digest").alias("d")).head()["d"]
+        if ends["n"] == n and (first is None or ends["d"] < first):
+            break
+    return kept.orderBy("place").limit(n).drop("place")
+
+
+def distinct_versions(df: DataFrame, version: str, problem: str, id_column: str, versions: list[str], n: int, seed: int | str, image: str | None = None, forbidden: DataFrame | None = None) -> DataFrame:
+    """SMP09: ``n`` rows of each version, no problem, id or picture (``image``) used twice over all of them; versions in the order given.
+
+    None of the ``forbidden`` pictures is chosen. Rows without one of these values are left out. A version with
+    fewer than ``n`` such rows is an error.
+    """
     work = Workspace(df.sparkSession, "versions")
-    rows = work.save(df.filter(F.col(version).isin(versions) & F.col(problem).isNotNull()), "rows")
+    unique = list(dict.fromkeys([problem, id_column, *([image] if image else [])]))
+    rows = df.filter(F.col(version).isin(versions))
+    for c in unique:
+        rows = rows.filter(F.col(c).isNotNull())
+    if forbidden is not None:
+        rows = rows.join(forbidden.select(image).distinct(), image, "left_anti")
+    rows = work.save(rows.select(version, *unique), "rows")
     out = None
     for i, name in enumerate(versions):
-        part = unique_images(rows.filter(F.col(version) == name), problem, id_column, n, f"{seed}:{name}", out)
-        part = work.save(part.withColumn(version, F.lit(name)), f"part-{i}")
+        free = rows.filter(F.col(version) == name).withColumn("digest", rank_digest(id_column, f"{seed}:{name}"))
+        for c in unique if out is not None else []:
+            free = free.join(out.select(c), c, "left_anti")
+        part = work.save(first_come(free, unique, n, work, f"walk-{i}").withColumn(version, F.lit(name)), f"part-{i}")
+        if (have := part.count()) != n:
+            raise ValueError(f"only {have} of {n} rows for {name}")
         out = part if out is None else out.unionByName(part)
     return out
 

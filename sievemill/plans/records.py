@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import shape
-from ..functions.normal import hash_value, normal_group_key, trimmed
+from ..functions.normal import hash_value, normal_group_key, normal_split, trimmed
 from ..operators import labels, sampling
 from ..operators.metrics import mean, rounded
 from ..session import table
@@ -135,7 +135,10 @@ def smp07(spark, d):
 
 
 def smp09(spark, d):
-    return sampling.distinct_versions(_records(spark, d), "source_key", "question", "sample_id", ["smart_val", "smart_train"], 30, SEED).select("source_key", "question", "sample_id")
+    """Pictures of the training split are forbidden, as in smp06."""
+    rows = _records(spark, d).withColumn("image", hash_value("pixel_sha256", 64))
+    forbidden = rows.filter(normal_split() == "train").select("image").filter("image IS NOT NULL")
+    return sampling.distinct_versions(rows, "source_key", "question", "sample_id", ["smart_val", "smart_train"], 30, SEED, "image", forbidden).select("source_key", "question", "sample_id")
 
 
 def srt05(spark, d):

@@ -152,3 +152,24 @@ def test_all_invalid_samples_are_replaced_as_in_the_walk(spark, tmp_path):
     assert {(r["old_sample_id"], r["sample_id"], r["flag"]) for r in got} == want and len(got) == 20
     with pytest.raises(ValueError, match="only .* rows for train-replacement"):
         selection.replacements(spark.read.parquet(f"{tmp_path}/manifest.parquet"), spark.createDataFrame([(r[0], True) for r in rows], "sample_id string, flag boolean"), SEED)
+
+
+def test_versions_share_no_picture(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("xy"), f"p{rng.randrange(30)}", f"id{i}", f"i{rng.randrange(25)}" if i % 9 else None) for i in range(90)]
+    df = spark.createDataFrame(rows, "s string, problem string, id string, image string")
+    forbidden = spark.createDataFrame([("i1",), ("i2",), ("i3",)], "image string")
+    used, want = [set(), set(), {"i1", "i2", "i3"}], []
+    for v in "xy":
+        picked = []
+        for r in sorted((r for r in rows if r[0] == v and r[3]), key=lambda r: hashlib.sha256(f"1:{v}:{r[2]}".encode()).hexdigest()):
+            if len(picked) < 8 and not any(x in u for x, u in zip((r[1], r[2], r[3]), used, strict=True)):
+                picked.append(r)
+                for x, u in zip((r[1], r[2], r[3]), used, strict=True):
+                    u.add(x)
+        assert len(picked) == 8
+        want += [(v, r[1], r[2], r[3]) for r in picked]
+    got = sampling.distinct_versions(df, "s", "problem", "id", ["x", "y"], 8, 1, "image", forbidden).select("s", "problem", "id", "image").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    with pytest.raises(ValueError, match="of 20 rows for"):
+        sampling.distinct_versions(df, "s", "problem", "id", ["x", "y"], 20, 1, "image", forbidden)
