@@ -150,6 +150,18 @@ def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def with_second(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """JOI14: first responses with their second ones, by ``keys``; those without one stay, with NULLs and ``has_second`` false.
+
+    ``second`` holds a key once, so no first response is repeated. NULL keys are equal.
+    """
+    other = second.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in second.columns if c not in keys], F.lit(True).alias("__second"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return first.join(other, same, "left").withColumn("has_second", F.coalesce("__second", F.lit(False))).drop("__second", *[f"__{k}" for k in keys])
+
+
 def vision_ratio(used: Column, full: Column, empty: Column | float | None = 0.0) -> Column:
     """SCL31: used over full tokens; ``empty`` where full is 0."""
     return F.coalesce(F.try_divide(used.cast("double"), full.cast("double")), F.lit(empty) if not isinstance(empty, Column) else empty)

@@ -146,6 +146,14 @@ def joi18(spark, d):
     return a.select("a", F.explode("s").alias("b")).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def joi14(spark, d):
+    """First and second pictures' tokens; records that used the tool have a second response."""
+    rows = _evals(spark, d).filter("sample_id IS NOT NULL")
+    first = rows.groupBy("dataset", "sample_id").agg(F.max("vision_tokens_low_first").alias("low_first"))
+    second = rows.filter("used_tool").groupBy("dataset", "sample_id").agg(F.max("vision_tokens_low_second").alias("low_second"), F.max("vision_tokens_crop").alias("crop"))
+    return metrics.with_second(first, second, ["dataset", "sample_id"])
+
+
 QUERIES = {
     "agg05_metric_block": agg05,
     "agg06_08_benchmark_blocks": lambda s, d: metrics.by_dataset(table(s, d, "eval_record")),
@@ -162,6 +170,7 @@ QUERIES = {
     "agg18_deltas": agg18,
     "agg18_first_differing": lambda s, d: metrics.first_differing(_evals(s, d), "vision_tokens_acquired", "vision_tokens_processed", "dataset", "eval_id"),
     "joi13_agg19_before_after": lambda s, d: metrics.before_after(*_runs(s, d)),
+    "joi14_second_responses": joi14,
     "agg23_largest": agg23,
     "agg27_fingerprints": agg27,
     "agg28_two_level_mean": agg28,
@@ -221,6 +230,9 @@ SQL = {
     "agg18_deltas": f"""WITH {_E}, r AS (SELECT dataset, CAST(vision_tokens_acquired AS DOUBLE) AS a, CAST(vision_tokens_acquired AS DOUBLE) - vision_tokens_processed AS d FROM e)
         SELECT dataset, round(max(abs(d)), 6) AS max_abs, round(sqrt(avg(d * d)), 6) AS rms, round(sqrt(sum(d * d)) / nullif(sqrt(sum(a * a)), 0), 6) AS relative_l2 FROM r GROUP BY 1""",
     "agg18_first_differing": f"WITH {_E} SELECT (SELECT dataset FROM e WHERE vision_tokens_acquired IS DISTINCT FROM vision_tokens_processed ORDER BY eval_id, dataset LIMIT 1) AS first_stage",
+    "joi14_second_responses": f"""WITH {_E}, f AS (SELECT dataset, sample_id, max(vision_tokens_low_first) AS low_first FROM e WHERE sample_id IS NOT NULL GROUP BY 1, 2),
+        s AS (SELECT dataset, sample_id, max(vision_tokens_low_second) AS low_second, max(vision_tokens_crop) AS crop FROM e WHERE sample_id IS NOT NULL AND used_tool GROUP BY 1, 2)
+        SELECT f.dataset, f.sample_id, low_first, low_second, crop, s.sample_id IS NOT NULL AS has_second FROM f LEFT JOIN s ON f.sample_id = s.sample_id AND f.dataset IS NOT DISTINCT FROM s.dataset""",
     "joi13_agg19_before_after": f"""WITH {_E}, b AS ({_RUN.format("dockqa")}), a AS ({_RUN.format("signbench")}), j AS (SELECT b.sample_id AS bs, a.sample_id AS s, b.correct AS bc, a.correct AS ac, b.score AS bsc, a.score AS asc_ FROM b FULL OUTER JOIN a USING (sample_id))
         SELECT count(*) FILTER (WHERE bs IS NOT NULL AND s IS NOT NULL) AS paired, count(*) FILTER (WHERE s IS NULL) AS only_before, count(*) FILTER (WHERE bs IS NULL) AS only_after,
         round(avg(CAST(ac AS DOUBLE) - CAST(bc AS DOUBLE)), 6) AS accuracy_delta, round(avg(asc_ - bsc), 6) AS score_delta, count(*) FILTER (WHERE asc_ <> bsc) AS changed,

@@ -31,6 +31,13 @@ def test_before_after(spark):
     assert tuple(r) == (2, 1, 1, 0.5, 0.5, 1, 1, 0)
 
 
+def test_first_responses_without_a_second_stay(spark):
+    first = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "sample_id string, n int")
+    second = spark.createDataFrame([("b", 20), (None, 30), ("z", 40)], "sample_id string, m int")
+    got = metrics.with_second(first, second, ["sample_id"]).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == [("a", 1, None, False), ("b", 2, 20, True), (None, 3, 30, True)]
+
+
 def test_rewards_and_advantages(spark):
     rows = [("d1", "g", 1.0, None, 0.1, False, 0.0, False), ("d2", "g", 0.0, None, 0.1, False, 0.0, False), ("t1", "g", 1.0, None, 0.1, True, 0.25, True), ("t2", "g", 1.0, None, 0.1, True, 1.0, True), ("one", "h", 1.0, None, 0.1, False, None, False)]
     df = spark.createDataFrame(rows, "id string, g string, accuracy double, answer_score double, format_reward double, used_tool boolean, tool_reward double, tool_reward_eligible boolean")
