@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import shape
 from ..functions.normal import hash_value, normal_group_key, normal_split, trimmed
-from ..operators import labels, sampling
+from ..operators import labels, passages, sampling
 from ..operators.metrics import mean, rounded
 from ..session import table
 from ..sources import files
@@ -70,6 +70,11 @@ def joi10(spark, d):
     return table(spark, d, "documents").filter("source <> 'bench_card'").select("doc_id").join(hit, "doc_id", "left_anti")
 
 
+def joi10_passages(spark, d):
+    """Documents without a passage of a bench_card, wherever in their lines it stands."""
+    return passages.without_passages(table(spark, d, "documents"), F.col("source") == "bench_card", "doc_id", "text").select("doc_id")
+
+
 def joi11(spark, d):
     """Rows of the shards that validation samples point at, each looked up once."""
     wanted = _records(spark, d).filter("source_key = 'smart_val'").select("source_shard", "source_row_in_shard").distinct()
@@ -158,6 +163,7 @@ QUERIES = {
     "joi04_fingerprints": joi04,
     "joi06_sources": lambda s, d: _annotations(s, d).join(table(s, d, "manifest").filter("sample_id IS NOT NULL").groupBy("sample_id").agg(F.max("batch_no").alias("last_batch")), "sample_id").select("annotation_id", "last_batch"),
     "joi10_decontaminated": joi10,
+    "joi10_passages": joi10_passages,
     "joi11_lookups": joi11,
     "joi16_scl50_mismatches": joi16,
     "joi17_phase_pairs": joi17,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievemill.functions.hashing import SEPARATOR
-from sievemill.operators import conflicts, sampling, selection
+from sievemill.operators import conflicts, passages, sampling, selection
 from sievemill.plans import datasets
 from sievemill.session import Workspace
 
@@ -173,3 +173,22 @@ def test_versions_share_no_picture(spark):
     assert sorted(map(tuple, got)) == sorted(want)
     with pytest.raises(ValueError, match="of 20 rows for"):
         sampling.distinct_versions(df, "s", "problem", "id", ["x", "y"], 20, 1, "image", forbidden)
+
+
+def test_passages_are_found_anywhere(spark):
+    bench = ["# Run 7\n| total | 500 |\nWas the tool drawer photographed twice, or is the left-hand copy a reprint? Yes.\n照片来自同一个码头，只是角度不同。", "Short text"]
+    common = "The low-resolution view drops the last digit of every long number."
+    texts = {
+        "inside a line": "Before that. Was the tool drawer photographed twice, or is the left-hand copy a reprint? After that.",
+        "short lines together": "x\n# Run 7\n| total | 500 |\nWas the tool drawer photographed twice, or is the left-hand copy a reprint? No.",
+        "chinese": "别的。照片来自同一个码头，只是角度不同。别的。",
+        "short text": "Longer one.\nShort text\nand more words than the other one has got.",
+        "heading only": "# Run 7\nSomething else is said here, in a sentence of its own.",
+        "other": "Was the tool drawer photographed once, or is the right-hand copy a reprint?",
+        "empty": "",
+        "null": None,
+    } | {f"boilerplate {i}": f"{common} {i}" for i in range(passages.COMMON + 1)}
+    rows = [(f"bench {i}", "bench", t) for i, t in enumerate([*bench, common])] + [(k, "web", t) for k, t in texts.items()] + [("no source", None, bench[0])]
+    df = spark.createDataFrame(rows, "id string, source string, text string")
+    got = {r["id"] for r in passages.without_passages(df, F.col("source") == "bench", "id", "text").collect()}
+    assert got == set(texts) - {"inside a line", "short lines together", "chinese", "short text"}
