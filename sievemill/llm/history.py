@@ -1,11 +1,13 @@
-"""Problem 1: each new batch against everything accepted before, without going over the history again.
+"""Problem 1: each new batch against everything accepted before, over an index instead of the records.
 
 The history is a persisted inverted file. Its vectors are the 64-bit difference hashes. Five coarse
 quantisers, the five disjoint bands of the hash, put each vector into five cells; a cell's list holds the
 full vectors. The distance bound: a vector that shares no cell with the query differs from it in at least one
 bit of every band, so in more than four bits. Once the query's own five cells are probed no match within
 four bits can remain, and what they hold is ranked exactly by the Hamming distance. Accepted vectors are
-appended to their cells; the accepted records themselves are never read again.
+appended to their cells; the accepted records themselves are never read again. Their entries are: the index is
+partitioned by kind only, so each batch scans all vectors and pixel hashes accepted before, not just the lists of
+its own cells, and the cost of a batch grows with the history.
 
 Cells with many vectors are refined: within one, the bits outside the cell's band form five bands again,
 by the same bound. This is no cap; all vectors of the cell stay reachable.
