@@ -49,17 +49,13 @@ def known_names(given: str, known: list[str]) -> list[str]:
 
 
 def under(path: Column, root: str) -> Column:
-    """FLT11: whether a relative path stays below ``root`` after its dots are resolved; NULL and absolute paths don't."""
+    """FLT11: whether a relative path, its dots resolved, lies below ``root``; NULL, absolute paths and those that leave the base don't."""
     parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
-    # The depth below the start at each step; a negative one has left it.
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"))
-
-    def step(a: Column, p: Column) -> Column:
-        depth = a["depth"] + F.when(p == "..", -1).otherwise(1)
-        return F.struct(depth.alias("depth"), F.least(a["least"], depth).alias("least"))
-
-    resolved = F.aggregate(parts, start, step)
-    return F.coalesce(~F.startswith(path, F.lit("/")) & (F.get(parts, F.lit(0)) == root) & (resolved["least"] >= 0) & (F.size(F.filter(parts, lambda p: p == "..")) * 2 < F.size(parts)) & (resolved["depth"] > 1), F.lit(False))
+    # The names above the current one; NULL, and so it stays, once a step has led out of the base.
+    names = lambda a: F.slice(a, 1, F.size(a) - 1)
+    step = lambda a, p: F.when(p != "..", F.array_append(a, p)).when(F.size(a) > 0, names(a))
+    resolved = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.coalesce(~F.startswith(path, F.lit("/")) & (F.get(resolved, F.lit(0)) == root) & (F.size(resolved) > 1), F.lit(False))
 
 
 def first_mismatch(a: Column, b: Column) -> Column:

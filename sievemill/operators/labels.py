@@ -12,8 +12,9 @@ STATUSES = ["localized", "global", "uncertain"]
 
 
 def annotations_once(annotations: DataFrame) -> DataFrame:
-    """Annotations without exact copies; a NULL id keeps one row."""
-    return annotations.dropDuplicates(["annotation_id"])
+    """Annotations without exact copies; those without an id are told apart by their whole content."""
+    content = F.when(F.col("annotation_id").isNull(), F.to_json(F.struct("*")))
+    return annotations.withColumn("__content", content).dropDuplicates(["annotation_id", "__content"]).drop("__content")
 
 
 def latest(annotations: DataFrame, *columns: str) -> DataFrame:

@@ -59,9 +59,7 @@ class Occupied:
 
 
 def _kept(rows: DataFrame, work: Workspace, name: str) -> DataFrame:
-    links = conflicts.near_links(conflicts.placed_in_cells(rows.filter("dhash IS NOT NULL").select("dhash").distinct())).select("a", "b")
-    links = work.save(links, f"links-{name}")
-    return work.save(conflicts.keep_first(rows, links, rows.count() + links.count(), work, name), f"kept-{name}")
+    return work.save(conflicts.keep_first(rows, rows.count(), work, name), f"kept-{name}")
 
 
 def _ordered(rows: DataFrame, seed: int, label: str) -> DataFrame:

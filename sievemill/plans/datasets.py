@@ -16,8 +16,8 @@ SEED = 7101
 
 
 def _records(spark, d):
-    """The manifest's records without exact copies, keyed by (sample_id, batch_no)."""
-    return table(spark, d, "manifest").dropDuplicates(["sample_id", "batch_no"])
+    """The manifest's records without exact copies, one row a (sample_id, batch_no) unless its copies differ."""
+    return table(spark, d, "manifest").distinct()
 
 
 def _samples(spark, d):
@@ -213,7 +213,7 @@ def _hash(c: str, n: int) -> str:
 
 
 _BARE = "replace(question, '<image>', '')"
-_M = "m AS (SELECT DISTINCT ON (sample_id, batch_no) * FROM manifest)"
+_M = "m AS (SELECT DISTINCT * FROM manifest)"
 _GROUP = f"coalesce(nullif(lower(regexp_replace(group_key, '{_SPACE}+', '', 'g')), ''), 'doc:' || nullif({_trim('doc_id')}, ''), 'image:' || {_hash('pixel_sha256', 64)})"
 _LOW = f"lower({_trim('split')})"
 _SPLIT = f"CASE WHEN {_LOW} = 'training' THEN 'train' WHEN {_LOW} IN ('valid', 'validation', 'dev') THEN 'val' WHEN {_LOW} = 'testing' THEN 'test' ELSE nullif({_LOW}, '') END"
@@ -238,7 +238,6 @@ _RANKED = f"SELECT *, row_number() OVER (PARTITION BY {{by}} ORDER BY sha256('{S
 _QUOTA = """c AS (SELECT family, area, count(*) AS n FROM s GROUP BY 1, 2), x AS (SELECT *, CAST(sum(n) OVER () AS BIGINT) AS a FROM c), y AS (SELECT *, 300 * n // a AS w, 300 * n % a AS r FROM x),
     q AS (SELECT family, area, n, CAST(w + CASE WHEN row_number() OVER (ORDER BY r DESC, family, area) <= 300 - sum(w) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM y)"""
 _HASHES = f"h AS (SELECT DISTINCT CAST('0x' || {_hash('dhash', 16)} AS UBIGINT) AS u FROM manifest WHERE {_hash('dhash', 16)} IS NOT NULL)"
-_BANDS = ", ".join(f"((u >> {low}) & {(1 << n) - 1}) + {i << 13}" for i, (low, n) in enumerate(conflicts.BANDS))
 
 SQL = {
     "smp01_stable_scores": f"WITH {_M} SELECT sample_id, batch_no, sha256('{SEED}' || chr(31) || sample_id) AS score FROM m",
@@ -268,7 +267,7 @@ SQL = {
         SELECT image, arg_min(sample_id, digest) AS sample_id, min(digest) AS digest FROM (SELECT *, sha256('{SEED}:' || sample_id) AS digest FROM r WHERE image IS NOT NULL AND sample_id IS NOT NULL AND image NOT IN (SELECT image FROM b)) GROUP BY 1 ORDER BY digest LIMIT 50""",
     "joi07_free_groups": f"WITH {_M}, r AS (SELECT sample_id, batch_no, {_GROUP} AS g, {_SPLIT} AS split FROM m) SELECT sample_id, batch_no FROM r WHERE split = 'train' AND NOT EXISTS (SELECT 1 FROM r t WHERE t.split = 'test' AND t.g = r.g)",
     "joi08_free_images": f"WITH {_M}, r AS (SELECT sample_id, batch_no, {_hash('pixel_sha256', 64)} AS p, {_SPLIT} AS split FROM m) SELECT sample_id, batch_no FROM r WHERE split = 'train' AND NOT EXISTS (SELECT 1 FROM r t WHERE t.split IN ('val', 'test') AND t.p = r.p)",
-    "joi09_scl43_near_hashes": f"""WITH {_HASHES}, b AS (SELECT u, unnest([{_BANDS}]) AS band FROM h), l AS (SELECT DISTINCT a.u AS a, b.u AS b FROM b a JOIN b USING (band) WHERE a.u <> b.u AND bit_count(xor(a.u, b.u)) <= 4)
+    "joi09_scl43_near_hashes": f"""WITH {_HASHES}, l AS (SELECT a.u AS a, b.u AS b FROM h a JOIN h b ON a.u <> b.u AND bit_count(xor(a.u, b.u)) <= 4)
         SELECT CASE WHEN h.u >= 9223372036854775808 THEN CAST(CAST(h.u AS HUGEINT) - 18446744073709551616 AS BIGINT) ELSE CAST(h.u AS BIGINT) END AS dhash, count(l.b) AS links FROM h LEFT JOIN l ON l.a = h.u GROUP BY h.u""",
     "agg04_joi09_audit": "SELECT unnest(['group', 'pixel', 'dhash', 'near']) AS \"check\", CAST(0 AS BIGINT) AS violations",
     "set04_differences": "SELECT (SELECT count(*) FROM (SELECT sample_id FROM manifest WHERE batch_no = 0 EXCEPT SELECT sample_id FROM manifest WHERE batch_no > 0)) AS only_old, (SELECT count(*) FROM (SELECT sample_id FROM manifest WHERE batch_no > 0 EXCEPT SELECT sample_id FROM manifest WHERE batch_no = 0)) AS only_new",

@@ -15,7 +15,7 @@ SEED = 7101
 
 
 def _records(spark, d):
-    return table(spark, d, "manifest").dropDuplicates(["sample_id", "batch_no"])
+    return table(spark, d, "manifest").distinct()
 
 
 def _annotations(spark, d):
@@ -179,9 +179,12 @@ QUERIES = {
     "snk08_summary": lambda s, d: files.summary(_evals(s, d).select("eval_id", "dataset"), ["dataset"]).select("rows", "strata"),
 }
 
-_M = "m AS (SELECT DISTINCT ON (sample_id, batch_no) * FROM manifest)"
+_M = "m AS (SELECT DISTINCT * FROM manifest)"
 _A = "a AS (SELECT DISTINCT ON (annotation_id) * FROM annotations)"
 _E = "e AS (SELECT DISTINCT * FROM eval_record)"
+# The names of a path with its dots resolved; a step out of the base leaves '/' at the front for good.
+_RESOLVED = """list_reduce(list_transform(list_filter(string_split(image_path, '/'), lambda x: x NOT IN ('', '.')), lambda x: [x]),
+    lambda a, x: CASE WHEN x[1] <> '..' OR coalesce(a[1] = '/', FALSE) THEN a || x WHEN len(a) = 0 THEN ['/'] ELSE a[:-2] END, CAST([] AS VARCHAR[]))"""
 
 SQL = {
     "prj02_sample_ids": f"WITH {_M} SELECT batch_no, sample_id, 'smart-' || replace(source_key, 'smart_', '') || '-' || printf('%05d', source_row_id) AS made_id FROM m WHERE source_row_id IS NOT NULL",
@@ -191,6 +194,7 @@ SQL = {
     "prj16_pivot": f"WITH {_E} SELECT sample_id, {', '.join(f'''round(max(vision_ratio) FILTER (WHERE dataset = '{n}'), 6) AS {n}''' for n in ('dockqa', 'signbench', 'dialset', 'sheetprobe', 'streetyn'))} FROM e WHERE sample_id IS NOT NULL GROUP BY 1",
     "flt10_drift": f"""WITH {_A}, s AS (SELECT sample_id, min(question) AS q, min(width) AS w, min(height) AS h FROM manifest WHERE batch_no = 0 AND sample_id IS NOT NULL GROUP BY 1)
         SELECT CASE WHEN question IS DISTINCT FROM q THEN 'question' WHEN width IS DISTINCT FROM w OR height IS DISTINCT FROM h THEN 'size' WHEN coalesce(len(answers), 0) = 0 THEN 'answers' END AS drift, count(*) AS n FROM a JOIN s USING (sample_id) GROUP BY 1""",
+    "flt11_paths": f"WITH {_M}, r AS (SELECT image_path, {_RESOLVED} AS r FROM m) SELECT coalesce(NOT starts_with(image_path, '/') AND r[1] = 'images' AND len(r) > 1, FALSE) AS inside, count(*) AS n FROM r GROUP BY 1",
     "flt13_slice": f"WITH {_E} SELECT eval_id FROM e WHERE used_tool AND eval_id IS NOT NULL ORDER BY eval_id OFFSET 5 LIMIT 20",
     "joi04_fingerprints": f"WITH {_A}, f AS (SELECT sample_id, first(annotation_meta.request_fingerprint ORDER BY annotation_id) AS x, last(annotation_meta.request_fingerprint ORDER BY annotation_id) AS y FROM a WHERE sample_id IS NOT NULL GROUP BY 1) SELECT sample_id, x IS NOT DISTINCT FROM y AS same FROM f",
     "joi06_sources": f"WITH {_A}, s AS (SELECT sample_id, max(batch_no) AS last_batch FROM manifest WHERE sample_id IS NOT NULL GROUP BY 1) SELECT annotation_id, last_batch FROM a JOIN s USING (sample_id)",

@@ -6,14 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import hadoop_path
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """SRC01, SRC02: JSON lines; blank lines are skipped, or with ``strict`` an error, as is anything malformed."""
+    """SRC01, SRC02: JSON lines; anything malformed is an error. Blank lines are skipped, or with ``strict`` an error."""
     if not strict:
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     lines = spark.read.text(path)
     parsed = F.from_json("value", schema, {"mode": "FAILFAST"})
     checked = F.when(F.trim("value") == "", F.raise_error(F.lit("blank line"))).otherwise(parsed)
@@ -83,10 +84,17 @@ def write_checked(df: DataFrame, path: str, check) -> None:
 def write_assets(df: DataFrame, content: str, extension: str, path: str) -> DataFrame:
     """SNK06, SNK07: each distinct content once, in folders by the first digits of its digest; adds sha256 and the asset's place.
 
-    Assets are stored as rows of Parquet tables partitioned by those digits: millions of small files serve no one.
+    Content that is there already is not written again. Assets are stored as rows of Parquet tables partitioned by
+    those digits: millions of small files serve no one.
     """
     keyed = df.withColumn("sha256", F.sha2(content, 256)).withColumn("head", F.substring("sha256", 1, 2))
-    keyed.select("head", "sha256", content).filter(F.col(content).isNotNull()).dropDuplicates(["sha256"]).write.mode("append").partitionBy("head").parquet(path)
+    new = keyed.select("head", "sha256", content).filter(F.col(content).isNotNull()).dropDuplicates(["sha256"])
+    where, fs = hadoop_path(df.sparkSession, path)
+    if fs.exists(where):
+        # Only digests are read of what is there.
+        held = df.sparkSession.read.schema(T.StructType([new.schema["sha256"], new.schema["head"]])).parquet(path)
+        new = new.join(held, ["head", "sha256"], "left_anti")
+    new.select("sha256", content, "head").write.mode("append").partitionBy("head").parquet(path)
     return keyed.withColumn("asset", F.concat(F.lit("images/high/"), "head", F.lit("/"), "sha256", F.lit(extension))).drop("head", content)
 
 

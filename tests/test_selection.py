@@ -85,15 +85,15 @@ def test_conflicts_in_rounds_and_in_split_cells(spark):
         if not any((p is not None and p == q) or (h is not None and g is not None and near(h, g)) for _, q, g in kept):
             kept.append((k, p, h))
     hashes = conflicts.placed_in_cells(df.filter("dhash IS NOT NULL").select("dhash").distinct())
-    for hot, local in ((1024, 10**6), (0, 10**6), (3, 0)):
-        work = Workspace(spark, "t")
-        links = work.save(conflicts.near_links(hashes, hot_cell=hot).select("a", "b"), "links")
-        distinct = sorted({h for _, _, h in rows if h is not None})
+    distinct = sorted({h for _, _, h in rows if h is not None})
+    for hot, local in ((1024, 10**6), (0, 0), (3, 0), (3, 20)):
+        links = conflicts.near_links(hashes, hot_cell=hot).select("a", "b")
         assert {(r["a"], r["b"]) for r in links.collect()} == {(a, b) for a in distinct for b in distinct if a < b and near(a, b)}
-        got = conflicts.keep_first(df, links, 10**5, work, "t", local)
+        got = conflicts.keep_first(df, 10**5, Workspace(spark, "t"), "t", local, hot)
         assert sorted(r["key"] for r in got.collect()) == [k for k, _, _ in kept]
     none = df.limit(0)
-    assert conflicts.keep_first(none, links.limit(0), 0, Workspace(spark, "t"), "t").count() == 0
+    assert conflicts.keep_first(none, 0, Workspace(spark, "t"), "t").count() == 0
+    assert conflicts.keep_first(none, 1, Workspace(spark, "t"), "t", 0).count() == 0
 
 
 def test_largest_remainder_and_proportional(spark):

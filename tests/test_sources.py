@@ -44,6 +44,11 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in files.wrong_digests(found, known).collect()] == [("gone", "missing")]
     assets = files.write_assets(spark.createDataFrame([(1, b"x"), (2, b"x"), (3, None)], "id int, blob binary"), "blob", ".png", str(tmp_path / "assets"))
     assert assets.count() == 3 and spark.read.parquet(str(tmp_path / "assets")).count() == 1
+    files.write_assets(spark.createDataFrame([(1, b"x"), (2, b"y")], "id int, blob binary"), "blob", ".png", str(tmp_path / "assets"))
+    assert sorted(bytes(r["blob"]) for r in spark.read.parquet(str(tmp_path / "assets")).collect()) == [b"x", b"y"]
+    (tmp_path / "bad.jsonl").write_text('{"a": 1}\n{"a": \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_jsonl(spark, str(tmp_path / "bad.jsonl"), "a int").collect()
     one, other = files.summary(df, ["b"]).head(), files.summary(df.orderBy(F.desc("a")), ["b"]).head()
     assert one == other and one["rows"] == 2
 
