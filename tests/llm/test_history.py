@@ -50,7 +50,7 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"local_rows": 0}), (3, {"hot_cell": 0})])
+@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"local_rows": 0, "hot_cell": 0}), (3, {"hot_list": 0, "part_rows": 4, "broadcast_rows": 0}), (4, {"hot_list": 3, "part_rows": 8, "most_segments": 2})])
 def test_rejected_records(spark, seed, options):
     rng = random.Random(seed)
     base = [rng.getrandbits(64) for _ in range(20)]
@@ -79,3 +79,18 @@ def test_a_hot_group_and_no_rows(spark):
     assert [r["sample_id"] for r in accepted.collect()] == ["00000"] and rejected.count() == 1999
     accepted, rejected = history.checked(spark.createDataFrame([], SCHEMA))
     assert accepted.count() == rejected.count() == 0
+
+
+def test_a_batch_reads_as_much_of_a_larger_history(spark):
+    rng = random.Random(5)
+    batch = [(f"n{i}", 1, f"{rng.getrandbits(256):x}", f"{rng.getrandbits(64):x}", None, None, None) for i in range(4)]
+    new = history.records(spark.createDataFrame(batch, SCHEMA))
+    read = []
+    for size in (512, 5120):
+        index = history.AcceptedHistory(spark, part_rows=64)
+        old = [(f"o{i}", 0, f"{rng.getrandbits(256):x}", f"{rng.getrandbits(64):x}", None, None, None) for i in range(size)]
+        index.check(history.records(spark.createDataFrame(old, SCHEMA)))
+        cells, pixels = index._ranges(new)
+        read.append(index._lists("vector", index.segments, cells).count() + index._lists("pixel", index.segments, pixels).count())
+        assert read[-1] < 6 * size
+    assert read[1] <= 1.5 * read[0]
