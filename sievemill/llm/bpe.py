@@ -7,19 +7,22 @@ where v leads. What the result accepts are exactly the tokenizations that the me
 byte string. All arcs with one label lead to the same state, so a state is a copy of an earlier one minus
 one arc, and a transition is looked up along these copies and kept in a table.
 
-A word is encoded by walking it once: for each end, the one token whose arc leaves the state reached at
-the token's start. Decoding emits the arcs' labels.
+A word is encoded by walking it once: a table over (node, byte) spells out the tokens that begin at each place
+where a path ends, and the one whose arc leaves the state reached there goes on. Decoding emits the arcs' labels.
+The words of an Arrow batch are numbered, distinct ones are walked once, and the ids of the texts are gathered from
+theirs with numpy.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import itertools
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -57,19 +60,27 @@ def read_vocabulary(raw: bytes) -> tuple[dict[bytes, int], list[tuple[bytes, byt
         vocab = {as_bytes(s): i for s, i in model["vocab"].items() if all(c in letters for c in s)}
         return {s: i for s, i in vocab.items() if s in made}, merges
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
-    automaton = Automaton({s: i for s, i in ranks.items() if len(s) == 1}, [])
     merges = []
     for s in sorted((s for s in ranks if len(s) > 1), key=ranks.__getitem__):
         # With the merges of lower rank alone, a token is a pair: the one that makes it.
-        parts = automaton.walk(s)
+        parts = merged(s, ranks, ranks[s])
         if len(parts) != 2:
             raise ValueError(f"{s!r} is not made of two tokens of lower rank")
-        a, b = (automaton.label[p] for p in parts)
-        merges.append((a, b))
-        automaton.add(a, b, ranks[s])
+        merges.append((parts[0], parts[1]))
     return ranks, merges
 
 
+def merged(s: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]:
+    """The parts of ``s`` after all merges of a rank below the given one, lowest first."""
+    parts = [s[i : i + 1] for i in range(len(s))]
+    while len(parts) > 1:
+        rank, i = min((ranks.get(parts[i] + parts[i + 1], below), i) for i in range(len(parts) - 1))
+        if rank >= below:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts
+
+
 class Automaton:
     """The compiled automaton of a vocabulary."""
 
@@ -83,7 +94,7 @@ class Automaton:
         self.parent: list[int] = [0]
         self.without: list[int] = [-1]
         self.table: dict[tuple[int, int], bool] = {}
-        self.longest = 1
+        self.next: dict[int, int] | None = None
         for b in range(256):
             if (s := bytes([b])) in vocab:
                 self.vocab[s], self.label[vocab[s]] = vocab[s], s
@@ -100,7 +111,7 @@ class Automaton:
         self.leads[u] = len(self.parent) - 1
         self.vocab[a + b], self.label[new] = new, a + b
         self.left[new], self.made[new], self.leads[new] = u, len(self.parent) - 2, end
-        self.longest = max(self.longest, len(a) + len(b))
+        self.next = None
 
     def has_arc(self, state: int, token: int) -> bool:
         """Whether an arc ``token`` leaves the state. Arcs made before the state were copied with it, later ones came with their left part."""
@@ -115,43 +126,64 @@ class Automaton:
             known = self.table[state, token] = not s
         return known
 
-    def walk(self, word: bytes) -> tuple[int, ...]:
+    def spell(self) -> None:
+        """Make the table over (node, byte) of the tokens' spellings; tokens added later are not in it."""
+        self.next: dict[int, int] = {}
+        self.token = [-1]
+        for s, t in self.vocab.items():
+            node = 0
+            for b in s:
+                step = node << 8 | b
+                node = self.next.get(step, 0)
+                if not node:
+                    node = self.next[step] = len(self.token)
+                    self.token.append(-1)
+            self.token[node] = t
+
+    def walk(self, word: bytes) -> list[int]:
         """The one path of tokens that spells the word."""
-        if (whole := self.vocab.get(word)) is not None:
-            return (whole,)
-        n, longest, vocab, leads = len(word), self.longest, self.vocab, self.leads
-        last: list[int] = [-1] * (n + 1)
-        states = [0] * (n + 1)
-        for end in range(1, n + 1):
-            for begin in range(max(0, end - longest), end):
-                token = vocab.get(word[begin:end])
-                if token is not None and (begin == 0 or last[begin] >= 0) and self.has_arc(states[begin], token):
+        if self.next is None:
+            self.spell()
+        n, following, tokens, leads = len(word), self.next, self.token, self.leads
+        last, states = [-1] * (n + 1), [0] * (n + 1)
+        for begin in range(n):
+            if begin and last[begin] < 0:
+                continue
+            state, node, end = states[begin], 0, begin
+            while end < n and (node := following.get(node << 8 | word[end])):
+                end += 1
+                token = tokens[node]
+                if token >= 0 and last[end] < 0 and self.has_arc(state, token):
                     last[end], states[end] = token, leads[token]
-                    break
-            else:
-                raise ValueError(f"no token for byte {word[end - 1]}")
         out = []
         while n:
+            if last[n] < 0:
+                raise ValueError(f"no token for byte {word[n - 1]}")
             out.append(last[n])
             n -= len(self.label[last[n]])
-        return tuple(reversed(out))
+        return out[::-1]
 
 
 class _Words(dict):
-    """Ids of words, made where missing."""
+    """Numbers of words, made where missing, with their ids one after another."""
 
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
+        self.ids, self.ends = array("i"), array("q")
+
+    def __missing__(self, word: str) -> int:
+        self.ids.extend(self.automaton.walk(word.encode("utf-8", "surrogatepass")))
+        self.ends.append(len(self.ids))
+        self[word] = len(self.ends) - 1
+        return len(self.ends) - 1
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= CACHE_WORDS:
+    def trim(self) -> None:
+        """Start afresh if too much is kept; between batches only, since numbers change."""
+        if len(self) > CACHE_WORDS or len(self.ids) > 8 * CACHE_WORDS:
             self.clear()
+            self.ids, self.ends = array("i"), array("q")
         if len(self.automaton.table) > 8 * CACHE_WORDS:
             self.automaton.table.clear()
-        ids = self.automaton.walk(word.encode("utf-8", "surrogatepass"))
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
 
 
 class Encoder:
@@ -160,12 +192,40 @@ class Encoder:
         self.words = _Words(self.automaton)
         self.split = regex.compile(pattern).findall
 
+    def _numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each word of the texts, number of words up to each text)."""
+        self.words.trim()
+        split, found, ends = self.split, [], [0]
+        for t in texts:
+            if t:
+                found += split(t)
+            ends.append(len(found))
+        return np.fromiter(map(self.words.__getitem__, found), np.int64, len(found)), np.array(ends)
+
+    def _sizes(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first id and number of ids of each word, number of ids up to each text)."""
+        stops = np.array(self.words.ends, np.int64)
+        starts = np.concatenate([[0], stops[:-1]])[words] if len(words) else words
+        sizes = stops[words] - starts if len(words) else words
+        return starts, sizes, np.concatenate([[0], np.cumsum(sizes)])[ends]
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids up to each text)."""
+        words, ends = self._numbered(texts)
+        starts, sizes, upto = self._sizes(words, ends)
+        # Place of each id: the first of its word, and how far it is into the word.
+        into = np.arange(upto[-1]) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.array(self.words.ids, np.int32)[np.repeat(starts, sizes) + into], upto
+
+    def count_all(self, texts: list[str | None]) -> np.ndarray:
+        return np.diff(self._sizes(*self._numbered(texts))[2])
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of the text without special tokens; none for an empty or missing text."""
-        return list(itertools.chain.from_iterable(map(self.words.__getitem__, self.split(text)))) if text else []
+        return self.encode_all([text])[0].tolist()
 
     def count(self, text: str | None) -> int:
-        return sum(map(len, map(self.words.__getitem__, self.split(text)))) if text else 0
+        return int(self.count_all([text])[0])
 
     def decode(self, ids: list[int] | None) -> str:
         return b"".join(map(self.automaton.label.__getitem__, ids or [])).decode("utf-8", "replace")
@@ -185,33 +245,39 @@ def packed_vocabulary(path: str) -> bytes:
     return zlib.compress(raw)
 
 
-def _per_text(df: DataFrame, text: str, out: T.StructField, of, path: str) -> DataFrame:
+def _per_batch(df: DataFrame, text: str, out: T.StructField, of, path: str) -> DataFrame:
     """``df`` with the column ``out`` for ``text``; the other columns stay as they are."""
     spark: SparkSession = df.sparkSession
     ship(spark)
     # The driver reads the file, so executors need not have it; its size is bounded by MOST_BYTES.
     packed = spark.sparkContext.broadcast(packed_vocabulary(path))
-    kind = pa.list_(pa.int32()) if isinstance(out.dataType, T.ArrayType) else pa.int64()
     at = df.columns.index(text)
     keep = [i for i, c in enumerate(df.columns) if c != out.name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(packed.value)
         for batch in batches:
-            made = pa.array([of(own, t) for t in batch.column(at).to_pylist()], kind)
+            made = of(own, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), made], names=[*(batch.schema.names[i] for i in keep), out.name])
 
     return df.mapInArrow(run, T.StructType([*(df.schema[i] for i in keep), out]))
 
 
+def _id_lists(own: Encoder, texts: list[str | None]) -> pa.Array:
+    ids, upto = own.encode_all(texts)
+    if len(ids) >= 1 << 31:
+        raise ValueError("more token ids in a batch than a list column can hold")
+    return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32()))
+
+
 def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str = TOKENIZER) -> DataFrame:
     """Add ``out``, the token ids of ``text`` as ARRAY<INT>; the empty array for empty and NULL texts."""
-    return _per_text(df, text, T.StructField(out, T.ArrayType(T.IntegerType())), Encoder.encode, path)
+    return _per_batch(df, text, T.StructField(out, T.ArrayType(T.IntegerType())), _id_lists, path)
 
 
 def count(df: DataFrame, text: str = "text", out: str = "tokens", path: str = TOKENIZER) -> DataFrame:
     """Add ``out``, the number of tokens of ``text``; 0 for empty and NULL texts."""
-    return _per_text(df, text, T.StructField(out, T.LongType()), Encoder.count, path)
+    return _per_batch(df, text, T.StructField(out, T.LongType()), lambda own, texts: pa.array(own.count_all(texts), pa.int64()), path)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str = TOKENIZER) -> DataFrame:
