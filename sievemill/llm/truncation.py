@@ -7,21 +7,22 @@ is a beginning of words that are frequent after the two before it. Rare trigrams
 words, then to the last one. Numbers count as one word, punctuation marks and line breaks as words, and in
 Chinese each character.
 
-An exact check follows on the text's own structure (open tags, fences, brackets, JSON) and on lengths at
-which texts of a source pile up: at such a limit weaker trigram evidence is enough. Everything is
-Spark SQL; no text leaves the JVM.
+An exact check follows on the text's own structure (open tags, fences, brackets, JSON; always the whole text)
+and on lengths at which texts of a source pile up: at such a limit weaker trigram evidence is enough.
+Everything is Spark SQL; no text leaves the JVM, and none is shuffled unless copies are so many that the
+list of them can't be broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import Workspace
 
-# A number, and a word of the trigrams once numbers are 0 and line breaks single.
-NUMBER = r"\p{Nd}+(?:[.,:]\p{Nd}+)*"
-WORD = r"\p{IsHan}|0|[\p{L}\p{M}'&&[^\p{IsHan}]]+|\n|\S"
+# A word of the trigrams: a Chinese character, a number, letters, line breaks with the blanks after them, any other mark.
+LETTER = r"(?:[A-Za-z']++|[\p{L}\p{M}&&[^\p{IsHan}]])"
+WORD = rf"{LETTER}++|\p{{Nd}}+(?:[.,:]\p{{Nd}}+)*|\n\s*|\S"
 # Characters that end a sentence or line; white space; what a cut may leave behind.
 STOPS = [".", "!", "?", "\u3002", "\uff01", "\uff1f", "\n"]
 BLANKS = " \t\r\n\f\v\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(chr(c) for c in range(0x2000, 0x200C))
@@ -45,39 +46,59 @@ LONGER = 5
 LIMIT_FROM, LIMIT_TEXTS, LIMIT_TIMES = 100, 6, 8.0
 #: Characters by which a text may stay below a limit that cuts between words.
 LIMIT_SLACK = 12
-#: Characters at the end of a text in which its last words are looked for first.
-TAIL = 240
+#: Characters at the end of a text in which its last words are looked for first, and of its end as it is taken apart first.
+TAIL, END = 240, 400
+#: Letters up to which the beginnings of words are counted; of longer ones only those with the same first ones are compared.
+HEAD = 24
+#: Copies whose doc_ids, 8 bytes each, are broadcast; more are left out by a shuffle.
+BROADCAST_COPIES = 1 << 20
 
 
 def words(text: Column) -> Column:
     """The words of a text; numbers as 0, line breaks as one."""
-    plain = F.regexp_replace(F.regexp_replace(text, NUMBER, "0"), r"\n\s*", "\n")
-    return F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))
+    number = lambda w: ((w >= "0") & (w < ":")) | ((w >= "\u0660") & w.rlike(r"^\p{Nd}"))
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.when(F.startswith(w, F.lit("\n")), "\n").when(number(w), "0").otherwise(w))
 
 
 def _ends(text: Column, size: int) -> Column:
     return F.substring(text, -size, size)
 
 
-def _with_body(df: DataFrame) -> DataFrame:
-    """Add whole (the text without outer white space), marked (it ends in an ellipsis) and body (without that and lost characters)."""
-    whole = F.trim(F.col("text"), F.lit(BLANKS))
-    marked = F.lit(False)
-    body = F.col("whole")
-    for mark in MARKS:
-        marked |= F.endswith(F.col("whole"), F.lit(mark))
+def _not_blank(text: Column) -> Column:
+    return text.rlike(f"[^{BLANKS}]")
+
+
+def _parts(text: Column) -> tuple[Column, Column]:
+    """(text without white space at its end, and that without an ellipsis and lost characters)."""
+    whole = body = F.rtrim(text, F.lit(BLANKS))
     for mark in ("[...]", "[…]"):
         body = F.when(F.endswith(body, F.lit(mark)), F.left(body, F.length(body) - len(mark))).otherwise(body)
     dots = F.when(F.endswith(body, F.lit("...")), F.rtrim(body, F.lit("."))).otherwise(body)
-    body = F.rtrim(dots, F.lit(BLANKS + "…" + LOST))
-    return df.withColumn("whole", whole).withColumn("marked", marked).withColumn("body", body)
+    return whole, F.rtrim(dots, F.lit(BLANKS + "…" + LOST))
+
+
+def _with_body(df: DataFrame) -> DataFrame:
+    """Add end (the text's last characters without outer white space), last (that without an ellipsis and lost characters), marked and body (the text down to there).
+
+    What is taken off is looked for in the last END characters; if nothing is left of these, in the whole text.
+    """
+    df = df.withColumn("tail", _ends(F.col("text"), END))
+    df = df.withColumn("tail", F.when((_parts(F.col("tail"))[1] == "") & (F.length("text") > END), F.col("text")).otherwise(F.col("tail")))
+    whole, last = _parts(F.col("tail"))
+    marked = F.lit(False)
+    for mark in MARKS:
+        marked |= F.endswith("end", F.lit(mark))
+    body = F.left("text", F.length("text") - F.length("tail") + F.length("last"))
+    return df.withColumn("end", whole).withColumn("last", last).withColumn("marked", marked).withColumn("body", body).drop("tail")
 
 
 def trigrams(texts: DataFrame) -> DataFrame:
-    """(w1, w2, w3, inner, stopped, final) over the distinct ``text``: occurrences inside texts, those before a stop, and at ends."""
-    spoken = _with_body(texts.select("text").distinct()).select(F.concat(F.array(F.lit("^"), F.lit("^")), words(F.col("body"))).alias("w")).filter(F.size("w") > 2)
-    place = F.explode(F.sequence(F.lit(0), F.size("w") - 3)).alias("i")
-    at = spoken.select("w", place).select(F.get("w", F.col("i")).alias("w1"), F.get("w", F.col("i") + 1).alias("w2"), F.get("w", F.col("i") + 2).alias("w3"), F.get("w", F.col("i") + 3).alias("after"))
+    """(w1, w2, w3, inner, stopped, final) over ``texts`` (text), each counted once: occurrences inside texts, those before a stop, and at ends."""
+    # White space before the first word would make line breaks there words.
+    spoken = _with_body(texts.select("text")).select(F.concat(F.array(F.lit("^"), F.lit("^")), words(F.ltrim("body", F.lit(BLANKS)))).alias("w"))
+    # An outer explode, since for another one the optimizer adds a filter that takes the words apart once more.
+    place = F.explode_outer(F.when(F.size("w") > 2, F.sequence(F.lit(0), F.size("w") - 3))).alias("i")
+    at = spoken.select("w", place).filter("i IS NOT NULL").select(F.get("w", F.col("i")).alias("w1"), F.get("w", F.col("i") + 1).alias("w2"), F.get("w", F.col("i") + 2).alias("w3"), F.get("w", F.col("i") + 3).alias("after"))
     inside = F.col("after").isNotNull()
     return at.groupBy("w1", "w2", "w3").agg(
         F.count("after").alias("inner"),
@@ -86,18 +107,30 @@ def trigrams(texts: DataFrame) -> DataFrame:
     )
 
 
+def _longer(own: DataFrame, wanted: DataFrame, context: list[str]) -> DataFrame:
+    """(context, w3, longer): how often words occur inside texts that begin with w3 and are longer, after the same ``context``.
+
+    Words are counted under each of their beginnings, so a join is of equal ones; no word meets all of its initial.
+    """
+    words_ = own.filter(F.col("w3").rlike(r"^\p{L}.") & (F.col("inner") > 0)).select(*context, F.col("w3").alias("word"), "inner")
+    if context:
+        words_ = words_.join(wanted.select(*context).distinct(), context, "left_semi")
+    begins = F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("word") - 1)), lambda i: F.left(F.col("word"), i))
+    short = words_.select(*context, F.explode(begins).alias("w3"), "inner").groupBy(*context, "w3").agg(F.sum("inner").alias("longer"))
+    head = F.left("w3", F.lit(HEAD)).alias("head")
+    long = wanted.filter(F.length("w3") > HEAD).select(*context, "w3", head)
+    rest = words_.filter(F.length("word") > HEAD).select(*context, "word", "inner", F.left("word", F.lit(HEAD)).alias("head"))
+    beyond = long.join(rest, [*context, "head"]).filter(F.startswith("word", F.col("w3")) & (F.length("word") > F.length("w3"))).groupBy(*context, "w3").agg(F.sum("inner").alias("longer"))
+    return short.filter(F.length("w3") <= HEAD).unionByName(beyond)
+
+
 def _counts(grams: DataFrame, keys: DataFrame, n: int) -> DataFrame:
     """For each of ``keys`` (w1, w2, w3): its counts in the last ``n`` words, and those of longer last words as ``longer``."""
     context = ["w1", "w2"][3 - n :]
     own = grams.groupBy(*context, "w3").agg(*[F.sum(c).alias(c) for c in ("inner", "stopped", "final")]) if n < 3 else grams
     wanted = keys.select(*context, "w3").distinct()
-    # A word is listed under its first one to four letters, a wanted one looked up under its first four or all.
-    heads = F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.length("w3") - 1)), lambda i: F.left(F.col("w3"), i))
-    listed = own.filter(F.col("w3").rlike(r"^\p{L}.") & (F.col("inner") > 0)).select(*context, F.col("w3").alias("word"), "inner", F.explode(heads).alias("head"))
-    begun = wanted.withColumn("head", F.left("w3", F.lit(4)))
-    longer = begun.join(listed, [*context, "head"]).filter(F.startswith("word", F.col("w3")) & (F.length("word") > F.length("w3"))).groupBy(*context, "w3").agg(F.sum("inner").alias("longer"))
     zero = [F.coalesce(c, F.lit(0)).alias(f"{c}{n}") for c in ("inner", "stopped", "final", "longer")]
-    return wanted.join(own, [*context, "w3"], "left").join(longer, [*context, "w3"], "left").select(*context, "w3", *zero)
+    return wanted.join(own, [*context, "w3"], "left").join(_longer(own, wanted, context), [*context, "w3"], "left").select(*context, "w3", *zero)
 
 
 def _chosen(name: str) -> Column:
@@ -137,23 +170,27 @@ def verdicts(grams: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _structure() -> Column:
     """Whether the text stops inside its own structure: JSON, tags, a fence or a bracket."""
-    whole = F.col("whole")
-    count = lambda s: F.length(whole) - F.length(F.replace(whole, F.lit(s), F.lit("")))
-    cut = F.startswith(whole, F.lit("{")) & ~F.endswith(whole, F.lit("}"))
+    text, end = F.col("text"), F.col("end")
+    count = lambda s: F.length(text) - F.length(F.replace(text, F.lit(s), F.lit("")))
+    cut = F.startswith(F.ltrim(text, F.lit(BLANKS)), F.lit("{")) & ~F.endswith(end, F.lit("}"))
+    tags = _ends(end, 20).rlike("<[/a-z_]*$")
     for tag in TAGS:
         opens, closes = f"<{tag}>", f"</{tag}>"
-        cut |= (count(opens) / len(opens) > count(closes) / len(closes)) & ~F.endswith(whole, F.lit(opens))
-    cut |= _ends(whole, 20).rlike("<[/a-z_]*$") | (count("```") % 6 != 0)
-    tail = _ends(F.col("body"), 120)
-    for opens, closes in ("()", "[]"):
-        cut |= tail.rlike(rf"\{opens}[^\{opens}\{closes}]*$")
+        tags |= (count(opens) / len(opens) > count(closes) / len(closes)) & ~F.endswith(end, F.lit(opens))
+    cut |= F.contains(text, F.lit("<")) & tags
+    cut |= F.contains(text, F.lit("```")) & (count("```") % 6 != 0)
+    for opens, closes in ("()", "[]"):  # of the text's brackets of a kind, the last is an opening one
+        cut |= F.contains(text, F.lit(opens)) & F.contains(F.substring_index("body", closes, -1), F.lit(opens))
     return cut
 
 
-def limits(documents: DataFrame) -> DataFrame:
-    """(source, unit, size) of the lengths, in characters (unit c) or bytes (b), at which distinct texts of a source pile up."""
-    sizes = F.array(F.struct(F.lit("c").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("b").alias("unit"), F.octet_length("text").alias("size")))
-    each = documents.select("source", F.xxhash64("text").alias("hash"), F.inline(sizes)).filter(F.col("size") >= LIMIT_FROM).distinct()
+def limits(last: DataFrame) -> DataFrame:
+    """(source, unit, size) of the lengths, in characters (unit c) or bytes (b), at which distinct texts of a source pile up.
+
+    ``last`` holds (source, h1, h2, chars, bytes): two hashes of a text and its lengths.
+    """
+    sizes = F.array(F.struct(F.lit("c").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("b").alias("unit"), F.col("bytes").alias("size")))
+    each = last.select("source", "h1", "h2", "chars", "bytes").distinct().select("source", F.inline(sizes)).filter(F.col("size") >= LIMIT_FROM)
     counted = each.groupBy("source", "unit", "size").agg(F.count("*").alias("n"))
     # Rows of a source here are its distinct lengths.
     beyond = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(3, 22)
@@ -161,34 +198,50 @@ def limits(documents: DataFrame) -> DataFrame:
     return counted.withColumn("usual", usual).filter((F.col("n") >= LIMIT_TEXTS) & (F.col("n") > LIMIT_TIMES * (F.col("usual") + 0.3))).select("source", "unit", "size")
 
 
-def judged(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, cut, evidence) of every document with a text that isn't blank.
-
-    evidence is the first that holds of lost_character, structure, mid_word, mid_sentence, limit; NULL if none.
-    Texts of fewer than five words are judged by structure and lost characters only: their final trigram is
-    the whole text. A NULL source is a source of its own. Copies of a text are judged alike within a source.
-    """
-    work = Workspace(documents.sparkSession, "truncation")
-    texts = documents.select("doc_id", "source", "text").filter(F.trim(F.col("text"), F.lit(BLANKS)) != "")
-    grams = work.save(trigrams(texts), "trigrams")
-    near = words(_ends(F.col("body"), TAIL))  # five words of the tail, or else all, hold the last four in full
-    last = _with_body(texts).withColumn("w", F.when((F.size(near) >= 5) | (F.length("body") <= TAIL), near).otherwise(words(F.col("body"))))
+def endings(documents: DataFrame) -> DataFrame:
+    """One row a document whose text isn't blank: two hashes of the text, its lengths, its last three words and what its structure shows."""
+    texts = _with_body(documents.select("doc_id", "source", "text").filter(_not_blank(F.col("text"))))
+    near = words(_ends(F.col("last"), TAIL))  # five words of the tail, or else all, hold the last four in full
+    texts = texts.withColumn("w", F.when((F.size(near) >= 5) | ((F.length("last") <= TAIL) & (F.length("last") == F.length("body"))), near).otherwise(words(F.col("body"))))
     word = lambda i: F.coalesce(F.try_element_at("w", F.lit(-i)), F.lit("^"))
-    last = last.select(
+    return texts.select(
         "doc_id",
         "source",
+        F.xxhash64("text").alias("h1"),
+        F.xxhash64(F.lit(1), "text").alias("h2"),
         word(3).alias("w1"),
         word(2).alias("w2"),
         word(1).alias("w3"),
         (F.size("w") >= 5).alias("enough"),
         "marked",
-        F.endswith("whole", F.lit(LOST)).alias("lost"),
+        F.endswith("end", F.lit(LOST)).alias("lost"),
         _structure().alias("structure"),
         F.length("text").alias("chars"),
         F.octet_length("text").alias("bytes"),
     )
-    last = work.save(last, "last")
-    size = work.save(limits(texts), "limits")
+
+
+def without_copies(documents: DataFrame, last: DataFrame, work: Workspace) -> DataFrame:
+    """``documents`` with one of each text that isn't blank, that of the smallest doc_id; texts are equal if both hashes are."""
+    first = last.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    n = Observation()
+    copies = last.join(first, ["h1", "h2"]).filter(F.col("doc_id") > F.col("first")).select("doc_id")
+    copies = work.save(copies.observe(n, F.count("*").alias("n")), "copies")
+    listed = F.broadcast(copies) if n.get["n"] <= BROADCAST_COPIES else copies
+    return documents.select("doc_id", "text").filter(_not_blank(F.col("text"))).join(listed, "doc_id", "left_anti")
+
+
+def judged(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, cut, evidence, by_trigrams) of every document with a text that isn't blank.
+
+    evidence is the first that holds of mid_word, mid_sentence, lost_character, structure, limit; NULL if none. by_trigrams tells
+    of the first two. Texts of fewer than five words are judged by structure and lost characters only: their final trigram
+    is the whole text. A NULL source is a source of its own. Copies of a text are judged alike within a source.
+    """
+    work = Workspace(documents.sparkSession, "truncation")
+    last = work.save(endings(documents), "last")
+    grams = work.save(trigrams(without_copies(documents, last, work)), "trigrams")
+    size = work.save(limits(last), "limits")
     chars = size.filter("unit = 'c'").select(F.col("source").alias("s"), F.explode(F.sequence(F.col("size") - LIMIT_SLACK, "size")).alias("chars"), F.lit(True).alias("at_chars")).distinct()
     # A byte limit may drop the rest of a character of up to four bytes.
     bytes_ = size.filter("unit = 'b'").select(F.col("source").alias("s"), F.explode(F.sequence(F.col("size") - 3, "size")).alias("bytes"), F.lit(True).alias("at_bytes")).distinct()
@@ -200,13 +253,13 @@ def judged(documents: DataFrame) -> DataFrame:
     by_words = F.col("enough") & ~stops
     at_end = F.coalesce("ending", F.lit(False)) | (F.coalesce("stopping", F.lit(False)) & ~F.col("marked"))
     evidence = (
-        F.when(F.col("lost"), "lost_character")
-        .when(F.col("structure"), "structure")
-        .when(by_words & F.col("mid_word"), "mid_word")
+        F.when(by_words & F.col("mid_word"), "mid_word")
         .when(by_words & F.col("mid_sentence"), "mid_sentence")
+        .when(F.col("lost"), "lost_character")
+        .when(F.col("structure"), "structure")
         .when(F.col("enough") & at_limit & ((~stops & ~at_end) | (stops & F.col("marked"))), "limit")
     )
-    return joined.select("doc_id", "source", evidence.isNotNull().alias("cut"), evidence.alias("evidence"))
+    return joined.select("doc_id", "source", evidence.alias("evidence")).select("doc_id", "source", F.col("evidence").isNotNull().alias("cut"), "evidence", F.coalesce(F.col("evidence").isin("mid_word", "mid_sentence"), F.lit(False)).alias("by_trigrams"))
 
 
 def cut_documents(documents: DataFrame) -> DataFrame:
@@ -217,3 +270,8 @@ def cut_documents(documents: DataFrame) -> DataFrame:
 def by_source(documents: DataFrame) -> DataFrame:
     """(source, texts, cut, share) of each source."""
     return judged(documents).groupBy("source").agg(F.count("*").alias("texts"), F.count(F.when(F.col("cut"), 1)).alias("cut")).withColumn("share", F.col("cut") / F.col("texts"))
+
+
+def by_evidence(documents: DataFrame) -> DataFrame:
+    """(evidence, texts) of the cut texts: what found them first."""
+    return judged(documents).filter("cut").groupBy("evidence").agg(F.count("*").alias("texts"))

@@ -31,6 +31,20 @@ def test_encoder_equals_the_library():
         assert ENCODER.count(t) == len(ids)
 
 
+def test_vocabulary_and_batches():
+    """Every entry through the automaton against merging by rank; words of several texts gathered in one batch."""
+    vocab, merges = bpe.read_vocabulary(open(bpe.TOKENIZER, "rb").read())
+    ranks = {a + b: i for i, (a, b) in enumerate(merges)}
+    rng = random.Random(4)
+    for word in [*vocab, *(bytes(rng.choices(b"aeinrst e", k=rng.randrange(1, 40))) for _ in range(300))]:
+        assert [ENCODER.automaton.label[t] for t in ENCODER.automaton.walk(word)] == bpe.merged(word, ranks, len(merges)), word
+    texts = ["a b a", None, "", "b" * 70, "a b a", " "]
+    ids, upto = ENCODER.encode_all(texts)
+    assert [ids[upto[i] : upto[i + 1]].tolist() for i in range(len(texts))] == [ENCODER.encode(t) for t in texts]
+    assert ENCODER.count_all(texts).tolist() == [len(ENCODER.encode(t)) for t in texts]
+    assert ENCODER.encode_all([])[1].tolist() == [0] and ENCODER.encode_all([None])[1].tolist() == [0, 0]
+
+
 def test_rank_files_give_the_same_merges():
     small = {s: i for s, i in ENCODER.automaton.vocab.items() if i < 2000}
     import base64
@@ -101,4 +115,21 @@ def test_limits(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "ü"]) for _ in range(80))[: rng.randrange(101, 300)] for _ in range(200)] + [("".join(rng.choice("abcdefgh ") for _ in range(400)))[:200] for _ in range(40)]
     df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id bigint, source string, text string")
-    assert (200, "c") in {(r["size"], r["unit"]) for r in truncation.limits(df).collect()}
+    assert (200, "c") in {(r["size"], r["unit"]) for r in truncation.limits(truncation.endings(df)).collect()}
+
+
+def test_structure_of_whole_texts(spark):
+    long = "word " * 300
+    rows = [("Notes (see " + long, True), ("Notes (see) " + long, False), ("[1 " + long + "(x)", True), ("  {" + long, True), ("```\ncode " + long, True), ("<think>" + long, True), (long + "." * 900, False), (" " * 500, None), ("(a" + " " * 900 + "[...]", True)]
+    got = {r["doc_id"]: r["structure"] for r in truncation.endings(spark.createDataFrame([(i, "s", t) for i, (t, _) in enumerate(rows)], "doc_id bigint, source string, text string")).collect()}
+    assert got == {i: x for i, (_, x) in enumerate(rows) if x is not None}
+
+
+def test_longer_words(spark):
+    """Against all pairs, with words above and below HEAD letters."""
+    words = ["a", "ab", "abc", "b", "x" * 30, "x" * 31, "x" * 40, "x" * 24, "1a"]
+    own = spark.createDataFrame([("c", w, i + 1) for i, w in enumerate(words)], "w2 string, w3 string, inner bigint")
+    for context in (["w2"], []):
+        got = {r["w3"]: r["longer"] for r in truncation._longer(own.select(*context, "w3", "inner"), own.select(*context, "w3"), context).collect()}
+        want = {p: n for p in words if (n := sum(i + 1 for i, w in enumerate(words) if w.startswith(p) and w != p and w[0].isalpha()))}
+        assert {p: got[p] for p in words if p in got} == want
