@@ -112,13 +112,20 @@ def parsed(text: Column | str, tool_allowed: Column | bool = True, width: Column
     return _parsed(text, lit(tool_allowed, "boolean"), lit(width, "double"), lit(height, "double"))
 
 
+def unwrapped_of(text: Column | str) -> Column:
+    """SCL10: a boxed answer's content, else the text, without outer white space."""
+    inner = F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"(?U)^\s+|\s+$", "")
+    bare = inner
+    for opening in reversed(WRAPPERS):
+        content = F.regexp_replace(F.substring(inner, F.lit(len(opening) + 1), F.length(inner) - len(opening) - 1), r"(?U)^\s+|\s+$", "")
+        bare = F.when(F.startswith(inner, F.lit(opening)) & F.endswith(inner, F.lit("}")), content).otherwise(bare)
+    return bare
+
+
 def answer_candidate(text: Column | str) -> Column:
     """SCL11 without Python: the only answer block anywhere, unwrapped; NULL for none or several."""
     text = F.col(text) if isinstance(text, str) else text
-    inner = F.regexp_replace(F.regexp_extract(text, r"(?s)<answer>(.*?)</answer>", 1), r"(?U)^\s+|\s+$", "")
-    bare = inner
-    for opening in WRAPPERS:
-        bare = F.when(F.startswith(inner, F.lit(opening)) & F.endswith(inner, F.lit("}")), F.regexp_replace(F.substring(inner, F.lit(len(opening) + 1), F.length(inner) - len(opening) - 1), r"(?U)^\s+|\s+$", "")).otherwise(bare)
+    bare = unwrapped_of(F.regexp_extract(text, r"(?s)<answer>(.*?)</answer>", 1))
     return F.when((F.regexp_count(text, F.lit(r"(?s)<answer>.*?</answer>")) == 1) & (bare != ""), bare)
 
 

@@ -132,6 +132,18 @@ def plain_number_of(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None or (n := plain_number(t)) is None else str(n))
 
 
+@F.pandas_udf(T.StringType())
+def benchmark_text_of(text: pd.Series) -> pd.Series:
+    """SCL05: the normal text without outer white space."""
+    return text.map(lambda t: None if t is None else normal_text(t).strip())
+
+
+@F.pandas_udf(T.StringType())
+def loose_number_of(text: pd.Series) -> pd.Series:
+    """SCL06: a number of the benchmark's grammar, as text; NULL if the text is none."""
+    return text.map(lambda t: None if t is None or (n := loose_number(t)) is None else str(n))
+
+
 @F.pandas_udf(_verdict("match"))
 def _match_of(prediction: pd.Series, answers: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([match(p, _list(a)) for p, a in zip(prediction, answers, strict=True)], columns=["match", "method"])

@@ -65,6 +65,11 @@ def first_mismatch(a: Column, b: Column) -> Column:
     return F.get(places, F.lit(0))
 
 
+def aligned(expected: Column, actual: Column, value: Column) -> Column:
+    """FLT14: the value if the two arrays are equal throughout, else NULL; missing arrays are not aligned."""
+    return F.when(expected.isNotNull() & actual.isNotNull() & first_mismatch(expected, actual).isNull(), value)
+
+
 def context(a: Column, place: Column, reach: int = 12) -> Column:
     """WIN15: the elements up to ``reach`` positions around a place."""
     low = F.greatest(F.lit(0), place - reach)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from ..functions.normal import trimmed
 
 # The statuses of a region label.
 STATUSES = ["localized", "global", "uncertain"]
@@ -57,6 +58,27 @@ def with_fallback(manifest: DataFrame, annotations: DataFrame) -> DataFrame:
     return base.join(own, "sample_id", "left").select("sample_id", F.coalesce("question", "q").alias("question"), F.coalesce("status", F.lit("unlabelled")).alias("status"), F.coalesce("annotated", F.lit(False)).alias("annotated"))
 
 
+def reviewed(annotations: DataFrame, reviews: DataFrame) -> DataFrame:
+    """PRJ15: (sample_id, original, accepted, overridden): the last label's acceptance, and what the last review makes of it.
+
+    A review keeps (``keep``) or refuses (``fix``); any other verdict, in whatever case, changes nothing.
+    """
+    own = latest(annotations, accepted().alias("original"))
+    verdict = F.lower(trimmed("verdict"))
+    said = F.when(verdict == "keep", True).when(verdict == "fix", False)
+    rows = own.join(latest_edits(reviews).select("sample_id", said.alias("said")), "sample_id", "left")
+    return rows.select("sample_id", "original", F.coalesce("said", "original").alias("accepted"), F.col("said").isNotNull().alias("overridden"))
+
+
+def without_hashes(rows: DataFrame, held: DataFrame, hashes: list[list[str]]) -> DataFrame:
+    """JOI10: the rows none of whose hashes a held row has; the columns of each list are compared among one another. A missing hash equals nothing."""
+    for group in hashes:
+        known = held.select(F.explode(F.array(*group)).alias("__hash")).filter(F.col("__hash").isNotNull()).distinct()
+        for c in group:
+            rows = rows.join(known, F.col(c) == F.col("__hash"), "left_anti")
+    return rows
+
+
 def problems() -> Column:
     """FLT09: what is wrong with a label first; NULL if nothing is."""
     region = F.col("region_annotation")

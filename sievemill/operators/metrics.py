@@ -32,13 +32,19 @@ def records(evaluations: DataFrame) -> DataFrame:
     return evaluations.distinct()
 
 
-def block() -> list[Column]:
-    """AGG05: metrics of a cohort of records."""
+def block(columns: list[str] = ()) -> list[Column]:
+    """AGG05: metrics of a cohort of records with ``columns``.
+
+    Without an answer_score a record's is whether it is correct; without estimated_generation_seconds their mean is NULL.
+    """
+    score = F.coalesce(F.col("answer_score").cast("double"), F.col("correct").cast("double")) if "answer_score" in columns else F.col("correct")
+    seconds = F.col("estimated_generation_seconds") if "estimated_generation_seconds" in columns else F.lit(None)
     tool = F.col("used_tool")
     rewarded = tool & F.col("tool_reward_eligible") & F.col("tool_reward").isNotNull()
     return [
         F.count("*").alias("count"),
         mean("correct").alias("accuracy"),
+        mean(score).alias("answer_score"),
         mean("correct", ~tool).alias("direct_answer_accuracy"),
         mean("correct", tool).alias("tool_answer_accuracy"),
         mean("used_tool").alias("tool_call_rate"),
@@ -53,6 +59,7 @@ def block() -> list[Column]:
         mean("vision_tokens_acquired").alias("vision_tokens_acquired"),
         mean("vision_tokens_processed").alias("vision_tokens_processed"),
         mean("vision_ratio").alias("vision_token_ratio"),
+        mean(seconds).alias("estimated_generation_seconds_per_sample"),
     ]
 
 
@@ -77,7 +84,7 @@ def by_cohort(evaluations: DataFrame, manifest: DataFrame) -> DataFrame:
     """AGG07: the block over all records and for each source flag; cohort is ``overall``, ``true``, ``false`` or ``unknown``."""
     flags = manifest.select("sample_id", normal_flag("use_tool").alias("flag")).filter("sample_id IS NOT NULL AND flag IS NOT NULL").groupBy("sample_id").agg(F.max("flag").alias("flag"))
     rows = records(evaluations).join(flags, "sample_id", "left").withColumn("cohort", F.coalesce(F.col("flag").cast("string"), F.lit("unknown")))
-    return rows.groupingSets([[], ["cohort"]], "cohort").agg(F.grouping("cohort").alias("all"), *block()).withColumn("cohort", F.when(F.col("all") == 1, "overall").otherwise(F.col("cohort"))).drop("all")
+    return rows.groupingSets([[], ["cohort"]], "cohort").agg(F.grouping("cohort").alias("all"), *block(evaluations.columns)).withColumn("cohort", F.when(F.col("all") == 1, "overall").otherwise(F.col("cohort"))).drop("all")
 
 
 def by_dataset(evaluations: DataFrame) -> DataFrame:

@@ -42,6 +42,12 @@ def ranked(df: DataFrame, keys: list[str], id_column: str, seed: int | str) -> D
     return hash_order_sum(rows, keys, "__unit", ["digest"]).drop("__unit")
 
 
+def first_ranks(df: DataFrame, n: int, *ties: str) -> DataFrame:
+    """The first ``n`` rows by ``digest``, found by ranks over bins of it: nothing is merged in one task, however large ``n``."""
+    placed = hash_order_sum(df.withColumn("__unit", unit_interval(F.col("digest"))), [], "__unit", ["digest", *ties], out="__rank")
+    return placed.filter(F.col("__rank") <= n).drop("__unit", "__rank")
+
+
 def largest_remainder(counts: DataFrame, keys: list[str], total: int) -> DataFrame:
     """AGG31, WIN06: (keys, n, quota): the share of ``total``, rounded down, and one more for the largest remainders, ties by key.
 
@@ -73,7 +79,7 @@ def unique_images(df: DataFrame, image: str, id_column: str, n: int, seed: int |
         rows = rows.join(forbidden.select(image).distinct(), image, "left_anti")
     digest = rank_digest(id_column, seed)
     first = rows.withColumn("digest", digest).groupBy(image).agg(F.min(F.struct("digest", id_column)).alias("m"))
-    return first.select(image, f"m.{id_column}", "m.digest").orderBy("digest").limit(n)
+    return first_ranks(first.select(image, f"m.{id_column}", "m.digest"), n)
 
 
 def scarcest_first(df: DataFrame, stratum: str, image: str, id_column: str, quotas: dict[str, int], seed: int | str) -> DataFrame:

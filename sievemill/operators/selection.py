@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import stable_score
+from ..functions.hashing import stable_score, unit_interval
 from ..functions.normal import hash_long, hash_value, normal_flag, normal_group_key
 from ..session import Workspace
 from . import conflicts
+from .ranking import hash_order_sum
 from .sequence import sequence_number
 
 COLUMNS = ["group_key", "pixel", "dhash", "flag", "source_key", "source_row_id", "sample_id"]
@@ -62,6 +63,11 @@ def _kept(rows: DataFrame, work: Workspace, name: str) -> DataFrame:
     return work.save(conflicts.keep_first(rows, rows.count(), work, name), f"kept-{name}")
 
 
+def _ranked(kept: DataFrame, keys: list[str]) -> DataFrame:
+    """Add rank by ``key``, which begins with the hash, within ``keys``."""
+    return hash_order_sum(kept.withColumn("__unit", unit_interval(F.col("selection_score"))), keys, "__unit", ["key"]).drop("__unit")
+
+
 def _ordered(rows: DataFrame, seed: int, label: str) -> DataFrame:
     """Rows with selection_score and the unique key that gives the order."""
     score = stable_score(seed, F.lit(label), F.col("group_key"))
@@ -72,14 +78,14 @@ def choose(rows: DataFrame, count: int, seed: int, label: str, occupied: Occupie
     """SMP02: the first ``count`` rows in hash order that conflict with nothing occupied or chosen before; an error if there are fewer.
 
     Equal to walking the rows one by one: what is kept in order is the lexicographically first set without
-    conflicts, and its first rows don't depend on those after them. ``count`` is the size of a split; the
-    cut-off is found by a distributed top-k.
+    conflicts, and its first rows don't depend on those after them. Rows are ranked over bins of their hash, so no
+    task merges a split.
     """
     occupied.steps += 1
     name = f"{label}-{occupied.steps}"
     free = occupied.reasons(_ordered(rows, seed, label)).filter("reason IS NULL").drop("reason")
     kept = _kept(occupied.work.save(free, f"free-{name}"), occupied.work, name)
-    chosen = kept.orderBy("key").limit(count).withColumn("split", F.lit(label)).drop("key")
+    chosen = _ranked(kept, []).filter(F.col("rank") <= count).withColumn("split", F.lit(label)).drop("key", "rank")
     chosen = occupied.work.save(chosen, f"chosen-{name}")
     if (n := chosen.count()) != count:
         raise ValueError(f"only {n} of {count} rows for {label}")
@@ -102,12 +108,16 @@ def choose_quotas(rows: DataFrame, quotas: dict[bool, int], seed: int, label: st
         free = work.save(occupied.reasons(left).filter("reason IS NULL").drop("reason"), f"free-{name}")
         kept = _kept(free, work, name)
         ends = {}
-        for flag, n in need.items():
-            if n:
-                first = kept.filter(F.col("flag") == flag).select("key").orderBy("key").limit(n).agg(F.count("*").alias("n"), F.max("key").alias("key")).head()
-                if first["n"] < n:
-                    raise ValueError(f"only {quotas[flag] - n + first['n']} of {quotas[flag]} rows for {label}, flag {flag}")
-                ends[flag] = first["key"]
+        open_ = {flag: n for flag, n in need.items() if n}
+        within = F.lit(False)
+        for flag, n in open_.items():
+            within |= (F.col("flag") == flag) & (F.col("rank") <= n)
+        found = {r["flag"]: r for r in _ranked(kept, ["flag"]).filter(within).groupBy("flag").agg(F.count("*").alias("n"), F.max("key").alias("key")).collect()}
+        for flag, n in open_.items():
+            have = found[flag]["n"] if flag in found else 0
+            if have < n:
+                raise ValueError(f"only {quotas[flag] - n + have} of {quotas[flag]} rows for {label}, flag {flag}")
+            ends[flag] = found[flag]["key"]
         end = min(ends.values())
         part = work.save(kept.filter(F.col("key") <= end).withColumn("split", F.lit(label)), f"chosen-{name}")
         for r in part.groupBy("flag").count().collect():

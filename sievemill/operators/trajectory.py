@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequence import sequence_number
+
 EPSILON = 1e-6
 
 
@@ -75,8 +77,10 @@ def token_weights(rows: DataFrame, batch: str, tokens: str, is_tool: str, accumu
     """AGG15, SCL29: weight M / N of each row's tokens, N being its kind's tokens in the batch; 0 for rows without tokens."""
     if accumulation <= 0:
         raise ValueError("accumulation must be positive")
-    of_kind = F.sum(tokens).over(Window.partitionBy(batch, is_tool))
-    return rows.withColumn("weight", F.when(F.col(tokens) > 0, F.coalesce(F.try_divide(F.lit(float(accumulation)), of_kind.cast("double")), F.lit(0.0))).otherwise(0.0))
+    kinds = rows.groupBy(F.col(batch).alias("__batch"), F.col(is_tool).alias("__kind")).agg(F.sum(tokens).alias("__sum"))
+    same = F.col(batch).eqNullSafe(F.col("__batch")) & F.col(is_tool).eqNullSafe(F.col("__kind"))
+    weight = F.coalesce(F.try_divide(F.lit(float(accumulation)), F.col("__sum").cast("double")), F.lit(0.0))
+    return rows.join(kinds, same).withColumn("weight", F.when(F.col(tokens) > 0, weight).otherwise(0.0)).drop("__batch", "__kind", "__sum")
 
 
 def clipped_loss(log_ratio: Column, advantage: Column, low: float = 0.2, high: float = 0.28, dual: float = 3.0) -> Column:
@@ -94,10 +98,13 @@ def last_active(rows: DataFrame, key: str, step: str, active: Column, won: str)
 def moving_average(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.25) -> DataFrame:
     """WIN10: exponential moving average in order; values that aren't positive are passed over, the first one seeds it.
 
-    A fold over one key's values in order, hence an array of them: a metric stream of one run. For unbounded
-    streams there is ``streaming.state.moving_averages``.
+    A sum of the values, each weighted by how many come after it, so no task holds a key's values: they are numbered
+    over range partitions. ``seen`` counts all rows of the key.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda r: r[value])
-    usable = F.filter(ordered, lambda v: v > 0)
-    fold = F.aggregate(usable, F.lit(None).cast("double"), lambda a, v: F.when(a.isNull(), v).otherwise(alpha * v + (1 - alpha) * a))
-    return rows.groupBy(key).agg(fold.alias("ema"), F.count("*").alias("seen"))
+    own = F.col(key).alias("__key")
+    usable = sequence_number(rows.filter(F.col(value) > 0).select(own, F.col(order).alias("__order"), F.col(value).cast("double").alias("__v")), ["__key"], [F.col("__order"), F.col("__v")], "__n")
+    counts = rows.groupBy(own).agg(F.count("*").alias("seen"), F.count(F.when(F.col(value) > 0, 1)).alias("__all"))
+    after = F.col("__all") - F.col("__n")
+    weight = F.pow(F.lit(1 - alpha), after) * F.when(F.col("__n") == 1, 1.0).otherwise(alpha)
+    sums = usable.join(counts.withColumnRenamed("__key", "__k"), F.col("__key").eqNullSafe(F.col("__k"))).groupBy("__k").agg(F.sum(weight * F.col("__v")).alias("ema"))
+    return counts.join(sums, F.col("__key").eqNullSafe(F.col("__k")), "left").select(F.col("__key").alias(key), "ema", "seen")

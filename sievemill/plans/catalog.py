@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import datasets, evaluation, labels, nested, records, streams, texts
+from . import datasets, derived, evaluation, labels, nested, records, streams, texts
 
-MODULES = [nested, datasets, labels, records, evaluation, texts, streams]
+MODULES = [nested, datasets, labels, records, evaluation, texts, derived, streams]
 
 
 def queries() -> dict:

@@ -36,7 +36,8 @@ def _rewarded(spark, d):
 
 
 def agg05(spark, d):
-    return _evals(spark, d).agg(*metrics.block())
+    rows = _evals(spark, d)
+    return rows.agg(*metrics.block(rows.columns))
 
 
 def agg09(spark, d):
@@ -195,7 +196,7 @@ def _avg(c: str, name: str, where: str = "TRUE") -> str:
 
 _COMMON = [_avg("correct", "accuracy"), _avg("correct", "direct_answer_accuracy", "NOT used_tool"), _avg("correct", "tool_answer_accuracy", "used_tool"), _avg("used_tool", "tool_call_rate"), _avg("NOT first_action_valid", "invalid_first_action_rate"), _avg("NOT final_answer_valid", "invalid_final_answer_rate"), _avg("format_compliance", "format_compliance")]
 _ELIGIBLE = "used_tool AND tool_reward_eligible AND tool_reward IS NOT NULL"
-_BLOCK = ", ".join(["count(*) AS count", *_COMMON, _avg("outcome_reward", "outcome_reward"), _avg("tool_reward", "tool_reward", _ELIGIBLE), f"count(*) FILTER (WHERE {_ELIGIBLE}) AS tool_reward_count", _avg("vision_tokens_low_first", "vision_tokens_low"), *[_avg(c, c) for c in ("vision_tokens_crop", "vision_tokens_acquired", "vision_tokens_processed")], _avg("vision_ratio", "vision_token_ratio")])
+_BLOCK = ", ".join(["count(*) AS count", *_COMMON, _avg("correct", "answer_score"), "CAST(NULL AS DOUBLE) AS estimated_generation_seconds_per_sample", _avg("outcome_reward", "outcome_reward"), _avg("tool_reward", "tool_reward", _ELIGIBLE), f"count(*) FILTER (WHERE {_ELIGIBLE}) AS tool_reward_count", _avg("vision_tokens_low_first", "vision_tokens_low"), *[_avg(c, c) for c in ("vision_tokens_crop", "vision_tokens_acquired", "vision_tokens_processed")], _avg("vision_ratio", "vision_token_ratio")])
 _BENCH = ", ".join(["count(*) AS count", "count(*) FILTER (WHERE correct) AS correct_count", *_COMMON, *[_avg(c, c) for c in ("vision_tokens_low_first", "vision_tokens_low_second", "vision_tokens_crop", "vision_tokens_full", "vision_tokens_acquired", "vision_tokens_processed", "vision_ratio", "vision_ratio_true")]])
 _ROLLOUTS = f"""{_E}, r AS (SELECT eval_id, sample_id, used_tool, tool_reward, tool_reward_eligible, CAST(correct AS DOUBLE) AS accuracy, format_compliance / 10 AS form FROM e WHERE sample_id IS NOT NULL),
     s AS (SELECT *, coalesce(CAST(sum(CASE WHEN accuracy > 0 AND NOT used_tool THEN 1 ELSE 0 END) OVER g AS DOUBLE) / nullif(sum(CASE WHEN accuracy > 0 THEN 1 ELSE 0 END) OVER g, 0), 0.0) AS direct_share
@@ -245,6 +246,7 @@ SQL = {
     "agg32_run_status": f"WITH {_E} SELECT eval_id, CASE WHEN correct AND final_answer_valid THEN 'completed' WHEN correct THEN 'incomplete' WHEN used_tool THEN 'signal 9' ELSE 'failed' END AS status FROM e",
     "win08_top_differences": f"WITH {_E} SELECT sample_id, eval_id, round(diff, 6) AS diff, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY diff DESC NULLS LAST, eval_id) AS rank FROM (SELECT *, abs(vision_ratio_true - vision_ratio) AS diff FROM e WHERE tool_reward IS NOT NULL)) WHERE rank <= 2",
     "win09_focus": f"WITH {_E} SELECT sample_id, dataset, max(round(abs(vision_ratio_true - vision_ratio), 6)) AS diff FROM e WHERE vision_ratio_true - vision_ratio IS NOT NULL GROUP BY 1, 2 ORDER BY diff DESC, sample_id NULLS FIRST, dataset LIMIT 4",
+    "win10_moving_average": "SELECT user_id, round(list_reduce(list(value ORDER BY event_id) FILTER (WHERE value > 0), lambda a, v: 0.25::DOUBLE * v + 0.75::DOUBLE * a), 6) AS ema, count(*) AS seen FROM events GROUP BY 1",
     "scl51_nested_get": "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events",
     "scl52_json_safe": "SELECT event_id, CASE WHEN value <= 400 THEN value END AS value, value IS NULL OR value > 400 AS dropped FROM events",
     "flt12_not_finite": f"WITH {_E} SELECT dataset, count(*) FILTER (WHERE NOT coalesce(isfinite(vision_ratio) AND isfinite(vision_ratio_true) AND isfinite(outcome_reward), FALSE)) AS bad FROM e GROUP BY 1",

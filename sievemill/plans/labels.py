@@ -134,6 +134,10 @@ SQL = {
     "scl23_scl24_span": f"""WITH {_A}, b AS (SELECT * FROM ({_each(_PIX)}) WHERE {_is_pix('box')}), s AS (SELECT *, [box[1] * 1000 // width, box[2] * 1000 // height, (box[3] * 1000 + width - 1) // width, (box[4] * 1000 + height - 1) // height] AS span FROM b)
         SELECT annotation_id, pos, span, [CAST(floor(span[1] * width / 1000.0::DOUBLE) AS BIGINT), CAST(floor(span[2] * height / 1000.0::DOUBLE) AS BIGINT), CAST(ceil(span[3] * width / 1000.0::DOUBLE) AS BIGINT), CAST(ceil(span[4] * height / 1000.0::DOUBLE) AS BIGINT)] AS executed FROM s""",
     "scl25_pixel_checks": f"WITH {_A} SELECT annotation_id, pos, {_is_pix('box')} AS valid FROM ({_each(_PIX)})",
+    "scl27_rewards": """WITH e AS (SELECT DISTINCT * FROM eval_record), f AS (SELECT eval_id, correct, coalesce(tool_reward, 0.0::DOUBLE) AS s, (CASE WHEN format_compliance >= 1 THEN 0.1 WHEN format_compliance > 0 THEN 0.05 ELSE 0 END)::DOUBLE AS form FROM e),
+        v AS (SELECT eval_id, CASE WHEN correct THEN 1.0::DOUBLE + form ELSE form + s / 32.0::DOUBLE END AS v FROM f),
+        g AS (SELECT *, greatest(0.0::DOUBLE, least(2.0::DOUBLE, CASE WHEN v >= 1 THEN round_even((v - 1) / 0.05::DOUBLE, 0) ELSE floor(v / 0.05::DOUBLE + 1e-6::DOUBLE) END)) * 0.05::DOUBLE AS form FROM v)
+        SELECT eval_id, CASE WHEN v >= 1 THEN 1.0::DOUBLE ELSE 0 END AS accuracy, round(CASE WHEN v >= 1 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(0.9999::DOUBLE, (v - form) * 32.0::DOUBLE)) END, 6) AS score, round(form, 6) AS format FROM g""",
     "scl33_centre_boxes": f"WITH {_A} SELECT annotation_id, CASE WHEN len({_PIX}[1]) = 4 THEN list_transform({_PIX}[1], lambda v: greatest(0.0::DOUBLE, least(1000.0::DOUBLE, v::DOUBLE))) ELSE [250.0::DOUBLE, 250, 750, 750] END AS box FROM a",
     "prj14_unit_boxes": f"WITH {_A} SELECT annotation_id, pos, [round(box[1]::DOUBLE / width, 9), round(box[2]::DOUBLE / height, 9), round(box[3]::DOUBLE / width, 9), round(box[4]::DOUBLE / height, 9)] AS unit FROM ({_each(_PIX)}) WHERE {_is_pix('box')}",
 }

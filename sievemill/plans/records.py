@@ -186,6 +186,11 @@ _E = "e AS (SELECT DISTINCT * FROM eval_record)"
 _RESOLVED = """list_reduce(list_transform(list_filter(string_split(image_path, '/'), lambda x: x NOT IN ('', '.')), lambda x: [x]),
     lambda a, x: CASE WHEN x[1] <> '..' OR coalesce(a[1] = '/', FALSE) THEN a || x WHEN len(a) = 0 THEN ['/'] ELSE a[:-2] END, CAST([] AS VARCHAR[]))"""
 
+_SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+_HEX = rf"regexp_replace(regexp_replace(lower(regexp_replace(pixel_sha256, '{_SPACE}+', '', 'g')), '^([a-z][a-z0-9_-]*[:=])?(0x)?', ''), '^0+(.)', '\1')"
+_GROUP = f"""coalesce(nullif(lower(regexp_replace(group_key, '{_SPACE}+', '', 'g')), ''), 'doc:' || nullif(regexp_replace(doc_id, '^{_SPACE}+|{_SPACE}+$', '', 'g'), ''),
+    'image:' || CASE WHEN regexp_full_match({_HEX}, '[0-9a-f]{{1,64}}') THEN lpad({_HEX}, 64, '0') END)"""
+
 SQL = {
     "prj02_sample_ids": f"WITH {_M} SELECT batch_no, sample_id, 'smart-' || replace(source_key, 'smart_', '') || '-' || printf('%05d', source_row_id) AS made_id FROM m WHERE source_row_id IS NOT NULL",
     "prj08_turns": f"""WITH {_M}, t AS (SELECT sample_id, batch_no, coalesce(answers, []) AS s, question FROM m)
@@ -201,6 +206,8 @@ SQL = {
     "joi10_decontaminated": """WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT * FROM l WHERE length(line) >= 30)
         SELECT doc_id FROM documents WHERE source <> 'bench_card' AND doc_id NOT IN (SELECT doc_id FROM k WHERE source <> 'bench_card' AND line IN (SELECT line FROM k WHERE source = 'bench_card'))""",
     "joi11_lookups": f"WITH {_M} SELECT source_key, count(*) AS n FROM m WHERE EXISTS (SELECT 1 FROM m v WHERE v.source_key = 'smart_val' AND v.source_shard = m.source_shard AND v.source_row_in_shard = m.source_row_in_shard) GROUP BY 1",
+    "joi16_scl50_mismatches": f"""WITH {_A}, r AS (SELECT annotation_id, region_annotation.reference_boxes_pixels[1] AS a, region_annotation.reference_boxes_pixels[2] AS b FROM a WHERE len(region_annotation.reference_boxes_pixels) > 1)
+        SELECT annotation_id, CAST(list_filter(range(0, greatest(len(a), len(b))), lambda i: a[i + 1] IS DISTINCT FROM b[i + 1] OR i >= len(a) OR i >= len(b))[1] AS INTEGER) AS place FROM r WHERE a IS NOT NULL AND b IS NOT NULL""",
     "joi17_phase_pairs": f"""WITH {_E}, r AS (SELECT sample_id, dataset, max(vision_ratio) AS v FROM e WHERE sample_id IS NOT NULL AND vision_ratio IS NOT NULL GROUP BY 1, 2)
         SELECT a.dataset AS a, b.dataset AS b, count(*) AS n, round(avg(b.v - a.v), 6) AS delta FROM r a JOIN r b ON a.sample_id = b.sample_id AND a.dataset < b.dataset GROUP BY 1, 2""",
     "joi21_replays": f"""WITH {_A} SELECT annotation_id FROM a WHERE EXISTS (SELECT 1 FROM manifest m WHERE m.sample_id = a.sample_id AND m.question IS NOT DISTINCT FROM a.question AND m.width IS NOT DISTINCT FROM a.width
@@ -209,5 +216,9 @@ SQL = {
     "win15_context": f"WITH {_M} SELECT sample_id, batch_no, array_to_string(string_split(coalesce(question, ''), ' ')[2:6], ' ') AS context FROM m",
     "set05_replaced": "SELECT batch_no, count(*) AS n FROM (SELECT sample_id, max(batch_no) AS batch_no FROM manifest WHERE sample_id IS NOT NULL AND batch_no IS NOT NULL GROUP BY 1) GROUP BY 1",
     "scl13_thoughts": f"""WITH {_M} SELECT CASE WHEN contains(lower(question), 'table') THEN 'A table has to be read.' WHEN contains(lower(question), 'chart') THEN 'A chart has to be read.' WHEN contains(lower(question), 'written') THEN 'Text has to be read.' ELSE 'The picture is too small.' END AS thought, count(*) AS n FROM m GROUP BY 1""",
+    "snk08_summary": f"""WITH {_E}, c AS (SELECT coalesce(dataset, '') AS k, count(*) AS n FROM e GROUP BY dataset) SELECT CAST(sum(n) AS BIGINT) AS rows, '{{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}}' AS strata FROM c""",
+    "smp08_yes_no_pairs": f"""WITH {_M}, r AS (SELECT source_key, {_GROUP} AS image, lower(regexp_replace(answers[1], '^{_SPACE}+|{_SPACE}+$', '', 'g')) AS a, sample_id, sha256('{SEED}:' || sample_id) AS digest FROM m WHERE sample_id IS NOT NULL),
+        p AS (SELECT source_key, image, arg_min(sample_id, digest) FILTER (WHERE a = 'yes') AS yes_id, arg_min(sample_id, digest) FILTER (WHERE a = 'no') AS no_id FROM r WHERE image IS NOT NULL GROUP BY 1, 2)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY sha256('{SEED}:' || image)) AS rank FROM p WHERE yes_id IS NOT NULL AND no_id IS NOT NULL) WHERE rank <= 5""",
     "srt05_priority": f"WITH {_M} SELECT sample_id, batch_no, coalesce(lower(trim(use_tool, ' \t\n\r')) IN ('true', '1'), FALSE) AS hint FROM m WHERE sample_id IS NOT NULL ORDER BY hint DESC, batch_no, sample_id LIMIT 20",
 }

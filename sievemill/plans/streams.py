@@ -31,6 +31,7 @@ QUERIES = {"str_windows": windows, "str02_moving_averages": averages, "str01_tra
 
 SQL = {
     "str_windows": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
+    "str02_moving_averages": "SELECT user_id, round(list_reduce(list(value ORDER BY event_id) FILTER (WHERE value > 0), lambda a, v: 0.25::DOUBLE * v + 0.75::DOUBLE * a), 6) AS ema, count(*) AS seen FROM events GROUP BY 1",
     "str01_trajectories": """WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), f AS (SELECT user_id, count(*) AS n, max(event_type) FILTER (WHERE i = 1) AS a, max(event_type) FILTER (WHERE i = 2) AS b FROM e GROUP BY 1)
         SELECT CAST(user_id AS VARCHAR) AS traj_uid, CASE WHEN n = 1 AND a = 'click' THEN 'answer_after_tool' ELSE 'done' END AS stage, CAST(n AS INTEGER) AS steps,
         (n = 1 AND a IN ('purchase', 'click')) OR (n = 2 AND a = 'click' AND b = 'purchase') AS valid FROM f""",
