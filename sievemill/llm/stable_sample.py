@@ -16,25 +16,10 @@ RATE = 0.05
 SALT = "group-sample-1"
 
 
-def keyed(manifest: DataFrame) -> DataFrame:
-    """The records as (sample_id, batch_no, group, label, expected_score, delivered_score).
-
-    ``expected_score`` is the stable hash of seed, label and group; NULL where one of them is missing.
-    """
-    label = F.when(normal_split().isNull(), F.lit(None).cast("string")).when(F.col("replacement_meta").isNotNull(), "train-replacement").otherwise(normal_split())
-    return manifest.select(
-        "sample_id",
-        "batch_no",
-        normal_group_key().alias("group"),
-        label.alias("label"),
-        hashing.stable_score(F.col("selection_seed"), label, normal_group_key()).alias("expected_score"),
-        blank_to_null(F.lower(trimmed("selection_score"))).alias("delivered_score"),
-    )
-
-
-def in_sample(key: Column | str, rate: float = RATE, salt: str = SALT) -> Column:
-    """Whether the key's hash lies below the rate; False for a NULL key."""
-    return F.coalesce(hashing.stable_unit(salt, key) < F.lit(float(rate)), F.lit(False))
+def drawn(rows: DataFrame, salt: Column | int | str, key: list[Column | str], rate: float) -> DataFrame:
+    """``rows`` with score (the hash of salt and key), unit (it in [0, 1)) and chosen (whether unit lies below the rate; False for a NULL key)."""
+    scored = rows.withColumn("score", hashing.stable_score(salt, *key)).withColumn("unit", hashing.unit_interval(F.col("score")))
+    return scored.withColumn("chosen", F.coalesce(F.col("unit") < F.lit(float(rate)), F.lit(False)))
 
 
 def sample(manifest: DataFrame, up_to_batch: int | None = None, rate: float = RATE, salt: str = SALT) -> DataFrame:
@@ -46,14 +31,17 @@ def sample(manifest: DataFrame, up_to_batch: int | None = None, rate: float = RA
     """
     rows = manifest if up_to_batch is None else manifest.filter(F.col("batch_no") <= up_to_batch)
     rows = rows.select("sample_id", F.coalesce(normal_group_key(), F.concat(F.lit("sample:"), "sample_id")).alias("group"))
-    return rows.filter(in_sample("group", rate, salt)).distinct().withColumn("unit", hashing.stable_unit(salt, "group"))
+    return drawn(rows, salt, ["group"], rate).filter("chosen").select("sample_id", "group", "unit").distinct()
 
 
 def wrong_scores(manifest: DataFrame) -> DataFrame:
-    """(sample_id, batch_no) of records with a normal split whose delivered score isn't the expected one.
+    """(sample_id, batch_no) of records with a normal split whose delivered score isn't the one that the draw gives them.
 
-    A missing score is wrong; so is any score of a record whose seed or group key is missing, since
-    nothing can have produced it. Exact copies count once.
+    The draw is repeated over the delivered records, salted with their own seed, by label and group, at rate 1: each record
+    with a whole key is in it with its score. A missing score is wrong; so is any score of a record whose seed or
+    group key is missing, since no draw can have produced it. Exact copies count once.
     """
-    wrong = ~F.col("delivered_score").eqNullSafe(F.col("expected_score")) | F.col("delivered_score").isNull()
-    return keyed(manifest).filter(F.col("label").isNotNull() & wrong).select("sample_id", "batch_no").distinct()
+    label = F.when(normal_split().isNull(), F.lit(None).cast("string")).when(F.col("replacement_meta").isNotNull(), "train-replacement").otherwise(normal_split())
+    rows = manifest.select("sample_id", "batch_no", "selection_seed", label.alias("label"), normal_group_key().alias("group"), blank_to_null(F.lower(trimmed("selection_score"))).alias("delivered"))
+    again = drawn(rows.filter("label IS NOT NULL"), F.col("selection_seed"), ["label", "group"], 1.0)
+    return again.filter(~(F.col("chosen") & F.col("delivered").eqNullSafe(F.col("score")))).select("sample_id", "batch_no").distinct()
