@@ -117,17 +117,18 @@ class QuotaSample:
         #: One row per plan category: what it has, needs and gives.
         self.report = spark.createDataFrame(table, schema)
 
+    def ranked(self) -> DataFrame:
+        """(sample_id, family, area, use_tool, rank, target_per_mille, needed, taken): eligible samples of the plan's categories in the order of their hash."""
+        units = self.records.withColumn("unit", hashing.stable_unit(self.salt, "sample_id"))
+        ranks = hash_order_sum(units, CATEGORY, "unit", ["sample_id"]).drop("unit")
+        return ranks.join(F.broadcast(self.report.select(*CATEGORY, "target_per_mille", "needed", "taken")), CATEGORY)  # at most MOST_CATEGORIES rows
+
     def chosen(self) -> DataFrame:
         """(sample_id, family, area, use_tool, rank, priority): ranks by hash, up to the category's seats."""
-        units = self.records.withColumn("unit", hashing.stable_unit(self.salt, "sample_id"))
-        ranked = hash_order_sum(units, CATEGORY, "unit", ["sample_id"])
-        seated = self.report.select(*CATEGORY, "taken", "target_per_mille")  # at most MOST_CATEGORIES rows
-        return (
-            ranked.join(F.broadcast(seated), CATEGORY)
-            .filter(F.col("rank") <= F.col("taken"))
-            .select("sample_id", *CATEGORY, "rank", F.try_divide(F.col("rank") - F.lit(0.5), F.col("target_per_mille").cast("double")).alias("priority"))
-        )
+        return self.ranked().filter(F.col("rank") <= F.col("taken")).select("sample_id", *CATEGORY, "rank", F.try_divide(F.col("rank") - F.lit(0.5), F.col("target_per_mille").cast("double")).alias("priority"))
 
     def short(self) -> DataFrame:
-        """(family, area, use_tool as text) of the categories with fewer eligible samples than needed."""
-        return self.report.filter(F.col("eligible") < F.col("needed")).select("family", "area", F.col("use_tool").cast("string").alias("use_tool"))
+        """(family, area, use_tool as text) of the categories that run out: no sample has the priority of their last needed seat, and the seat passes to others."""
+        filled = self.ranked().filter(F.col("rank") == F.col("needed")).select(*CATEGORY)
+        wanted = self.report.filter("needed > 0")
+        return wanted.join(filled, CATEGORY, "left_anti").select("family", "area", F.col("use_tool").cast("string").alias("use_tool"))
