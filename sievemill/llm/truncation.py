@@ -88,8 +88,9 @@ def _with_body(df: DataFrame) -> DataFrame:
     marked = F.lit(False)
     for mark in MARKS:
         marked |= F.endswith("end", F.lit(mark))
-    body = F.left("text", F.length("text") - F.length("tail") + F.length("last"))
-    return df.withColumn("end", whole).withColumn("last", last).withColumn("marked", marked).withColumn("body", body).drop("tail")
+    # One step after the other, so that none is evaluated again within the next.
+    df = df.withColumns({"end": whole, "last": last})
+    return df.withColumns({"marked": marked, "body": F.left("text", F.length("text") - F.length("tail") + F.length("last"))}).drop("tail")
 
 
 def trigrams(texts: DataFrame) -> DataFrame:
@@ -201,8 +202,8 @@ def limits(last: DataFrame) -> DataFrame:
 def endings(documents: DataFrame) -> DataFrame:
     """One row a document whose text isn't blank: two hashes of the text, its lengths, its last three words and what its structure shows."""
     texts = _with_body(documents.select("doc_id", "source", "text").filter(_not_blank(F.col("text"))))
-    near = words(_ends(F.col("last"), TAIL))  # five words of the tail, or else all, hold the last four in full
-    texts = texts.withColumn("w", F.when((F.size(near) >= 5) | ((F.length("last") <= TAIL) & (F.length("last") == F.length("body"))), near).otherwise(words(F.col("body"))))
+    texts = texts.withColumn("near", words(_ends(F.col("last"), TAIL)))  # five words of the tail, or else all, hold the last four in full
+    texts = texts.withColumn("w", F.when((F.size("near") >= 5) | ((F.length("last") <= TAIL) & (F.length("last") == F.length("body"))), F.col("near")).otherwise(words(F.col("body"))))
     word = lambda i: F.coalesce(F.try_element_at("w", F.lit(-i)), F.lit("^"))
     return texts.select(
         "doc_id",
