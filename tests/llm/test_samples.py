@@ -128,8 +128,41 @@ def test_groups_stay_together(spark):
     assert splits.GroupSplits(manifest(spark, [])).assigned().count() == 0
 
 
+def test_related_groups_and_mixed_labels(spark):
+    rows = [{"s": f"a{i}", "g": f"doc:{i}", "split": "train"} for i in range(300)]
+    rows += [{"s": f"b{i}", "b": b, "g": f"doc:{i + b}", "split": "test"} for b in (0, 1) for i in range(40, 60)]  # a chain of groups
+    rows += [{"s": f"c{i}", "g": "doc:mixed", "split": "train" if i else "test"} for i in range(20)] + [{"s": f"d{i}", "g": "doc:tests", "split": "test" if i else "train"} for i in range(20)]
+    rows += [{"s": f"e{i}", "g": f"doc:e{i}", "split": "test"} for i in range(20)] + [{"s": None, "g": f"doc:{i}", "split": "train"} for i in range(9)] + [{"s": " ", "g": f"doc:{i}", "split": "odd"} for i in range(5)]
+    out = {r["group_key"]: r for r in splits.GroupSplits(manifest(spark, rows)).assigned().collect()}
+    assert {out[f"doc:{i}"]["component"] for i in range(40, 61)} == {"doc:40"} and len({out[f"doc:{i}"]["split"] for i in range(40, 61)}) == 1
+    assert out["doc:1"]["component"] == "doc:1"  # a missing sample_id relates nothing
+    assert (out["doc:mixed"]["split"], out["doc:mixed"]["moved"], out["doc:mixed"]["unavoidable"]) == ("train", 1, 1)
+    assert out["doc:tests"]["split"] == "test" and out["doc:tests"]["unavoidable"] == 1
+    assert all((r["unavoidable"] > 0) == (r["n_splits"] > 1) and r["moved"] >= r["unavoidable"] for r in out.values())
+    assert {k for k, r in out.items() if r["n_splits"] > 1} == {f"doc:{i}" for i in [*range(5), *range(40, 61)]} | {"doc:mixed", "doc:tests"}
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
+    edges = [(f"{max(p):03d}", f"{min(p):03d}") for p in pairs if p[0] != p[1]]
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = splits.components(spark.createDataFrame(edges, "a string, b string"), splits.Workspace(spark, "t"))
+    assert {tuple(r) for r in got.collect()} == {(n, r) for n, r in root.items() if n != r}
+    assert splits.components(spark.createDataFrame([], "a string, b string"), splits.Workspace(spark, "t")) is None
+    sizes = [1, 7, 127, 128, 129, 255, 256, 257, 1000, 2**40 + 5]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n bigint").select(splits.size_class(F.col("n"))).collect()]
+    assert got == [n if n < 128 else n >> (n.bit_length() - 7) << (n.bit_length() - 7) for n in sizes]
+
+
 def test_cheapest_flow():
-    flow = splits.cheapest_flow({"train": 50, "val": 30, "none": 20}, {"train": 80.0, "val": 8.0, "test": 12.0})
+    profiles = {"train": "10.0.0", "val": "0.10.0", "none": "0.0.0"}
+    flow = splits.cheapest_flow({profiles["train"]: 50, profiles["val"]: 30, profiles["none"]: 20}, {"train": 80.0, "val": 8.0, "test": 12.0})
     sent = lambda s: sum(v for (_, t), v in flow.items() if t == s)
     assert [sent(s) for s in ("train", "val", "test")] == [80, 8, 12]
-    assert flow["train", "train"] == 50 and flow["val", "val"] == 8
+    assert flow[profiles["train"], "train"] == 50 and flow[profiles["val"], "val"] == 8
+    flow = splits.cheapest_flow({"1.0.9": 100, "9.0.1": 900}, {"train": 900.0, "val": 0.0, "test": 100.0})
+    assert flow["1.0.9", "test"] == 100 and flow["9.0.1", "train"] == 900
