@@ -1,10 +1,12 @@
-"""Constraints on tables, each as a report of what holds (AGG25, FLT15, STR04, SMP15, SRC14)."""
+"""Constraints on tables, each as a report of what holds (AGG25, FLT15, STR04, SMP15, SRC14, SRC15)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shape import under
+
 
 def group_counts(df: DataFrame, key: str, wanted: dict) -> DataFrame:
     """AGG25: (key, found, wanted, ok) of each key that is there or ``wanted``, as text; a key that isn't wanted should have no rows."""
@@ -39,6 +41,17 @@ def plan_report(df: DataFrame, name: str, targets: dict[str, int], unique: list[
     return plan.join(each, "name", "left").select("name", "target", zero("found").alias("found"), least.alias("distinct_found"), (least >= F.col("target")).alias("ok"))
 
 
+def manifest_rules(rows: DataFrame, unique: list[str], path: str, root: str, least: int) -> DataFrame:
+    """SRC15: (rule, violations) over a manifest's distinct rows: ids that occur more than once, paths outside of ``root``, rows that are lacking."""
+    rows = rows.distinct()
+    repeated = rows.groupBy(*unique).agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("violations"))
+    outside = rows.filter(~under(F.col(path), root)).agg(F.count("*").alias("violations"))
+    lacking = rows.agg(F.greatest(F.lit(0).cast("bigint"), F.lit(least) - F.count("*")).alias("violations"))
+    named = [("repeated id", repeated), (f"outside of {root}", outside), (f"fewer than {least} rows", lacking)]
+    parts = [df.select(F.lit(name).alias("rule"), "violations") for name, df in named]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def cache_states(wanted: DataFrame, cache: DataFrame, key: str, fingerprint: str) -> DataFrame:
     """SRC14: (key, state) of each wanted request: ``hit`` if the cache has its fingerprint, ``mismatch`` if another one, else ``miss``.
 

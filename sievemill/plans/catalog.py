@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import datasets, derived, evaluation, labels, nested, records, streams, texts
+from . import datasets, derived, evaluation, labels, nested, records, storage, streams, texts
 
-MODULES = [nested, datasets, labels, records, evaluation, texts, derived, streams]
+MODULES = [nested, datasets, labels, records, evaluation, texts, derived, storage, streams]
 
 
 def queries() -> dict:

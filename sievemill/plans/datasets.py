@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import stable_score
 from ..functions.normal import blank_to_null, hash_long, hash_value, normal_flag, normal_group_key, normal_split, trimmed
 from ..functions.strata import FAMILY_WORDS, FOLDED, area_bucket, question_family
-from ..operators import conflicts, sampling, selection, sequence
+from ..operators import conflicts, sampling, selection, sequence, turns
 from ..operators.metrics import rounded
 from ..session import Workspace, table
 
@@ -58,7 +58,7 @@ def prj07(spark, d):
 
 
 def prj09(spark, d):
-    text = F.format_string("Picture of %d by %d pixels.\nQuestion: %s", F.get("lowres_size", F.lit(0)), F.get("lowres_size", F.lit(1)), F.col("question"))
+    text = turns.prompt("Picture of {width} by {height} pixels.\nQuestion: {question}", F.col("question"), F.get("lowres_size", F.lit(0)), F.get("lowres_size", F.lit(1)))
     return _records(spark, d).filter((F.size("lowres_size") == 2) & F.forall("lowres_size", lambda v: v.isNotNull()) & F.col("question").isNotNull()).select("sample_id", "batch_no", text.alias("prompt"))
 
 
@@ -249,6 +249,7 @@ SQL = {
         FROM r WHERE group_key IS NOT NULL GROUP BY 1, 2""",
     "agg04_uniqueness": "SELECT count(sample_id) AS rows, count(DISTINCT sample_id) AS samples, count(DISTINCT image_path) AS images FROM manifest",
     "prj01_candidates": f"WITH {_M} SELECT sample_id, batch_no, coalesce({_trim(_BARE)}, '') AS question, {_GROUP} AS group_key FROM m",
+    "prj03_env_rows": f"""WITH {_M} SELECT sample_id, batch_no, to_json({{'env_kwargs': {{'sample_id': sample_id, 'split': {_SPLIT}, 'question': question, 'answers': coalesce(answers, []), 'source_use_tool': coalesce({_FLAG}, FALSE)}}}})::VARCHAR AS row FROM m""",
     "prj06_first_present": f"WITH {_M} SELECT sample_id, batch_no, coalesce(nullif(question, ''), answers[1], '') AS first_truthy, coalesce(original_answer, answers[1]) AS first_present FROM m",
     "prj07_answer_lists": f"WITH {_M} SELECT sample_id, batch_no, coalesce(list_filter(list_transform(answers, lambda a: {_trim('a')}), lambda a: a <> ''), []) AS answers FROM m",
     "prj09_prompts": f"WITH {_M} SELECT sample_id, batch_no, 'Picture of ' || lowres_size[1] || ' by ' || lowres_size[2] || ' pixels.' || chr(10) || 'Question: ' || question AS prompt FROM m WHERE len(lowres_size) = 2 AND lowres_size[1] IS NOT NULL AND lowres_size[2] IS NOT NULL AND question IS NOT NULL",

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import shape
-from ..functions.normal import hash_value, normal_group_key, normal_split, trimmed
-from ..operators import labels, passages, sampling
+from ..functions import geometry, shape
+from ..functions.normal import hash_value, normal_flag, normal_group_key, normal_split, trimmed
+from ..operators import labels, passages, sampling, turns
 from ..operators.metrics import mean, rounded
 from ..session import table
 from ..sources import files
@@ -27,20 +27,59 @@ def _evals(spark, d):
 
 
 def prj02(spark, d):
-    rows = _records(spark, d).filter("source_row_id IS NOT NULL")
-    return rows.select("batch_no", "sample_id", F.format_string("smart-%s-%05d", F.replace("source_key", F.lit("smart_"), F.lit("")), F.col("source_row_id")).alias("made_id"))
+    """The 29 columns of a manifest, made from the source's fields; nested source information as JSON."""
+    made = F.format_string("smart-%s-%05d", F.replace("source_key", F.lit("smart_"), F.lit("")), F.col("source_row_id"))
+    rows = _records(spark, d).filter("source_row_id IS NOT NULL AND source_key IS NOT NULL").withColumn("sample_id", made)
+    at = lambda folder, end: F.concat(F.lit(f"{folder}/"), F.col("sample_id"), F.lit(end))
+    plain = ["source", "source_revision", "source_access", "source_shard", "source_row_in_shard", "source_row_id", "doc_id", "selection_seed", "selection_score", "data_source", "width", "height", "source_image_size", "lowres_size", "image_sha256", "source_bytes_sha256", "pixel_sha256", "dhash", "question", "answers", "original_answer"]
+    return rows.select(
+        "sample_id",
+        *plain,
+        normal_group_key().alias("group_id"),
+        normal_split().alias("split"),
+        F.lit(False).alias("formal_split_audit_pending"),
+        F.to_json("source_info", {"ignoreNullFields": "false"}).alias("source_info"),
+        at("images", ".png").alias("image_path"),
+        at("originals", ".bin").alias("original_bytes_path"),
+        at("lowres", ".png").alias("lowres_path"),
+    )
+
+
+def _trajectories(spark, d):
+    """Annotations as trajectories: by the tool where the source says so and there is a box."""
+    first = lambda c: F.get(c, F.lit(0))
+    rows = _annotations(spark, d).filter("annotation_id IS NOT NULL AND sample_id IS NOT NULL")
+    box = first("region_annotation.reference_boxes_pixels")
+    tool = F.coalesce(normal_flag("source_info.use_tool"), F.lit(False)) & geometry.is_pixel_box(box, F.col("width"), F.col("height"))
+    return rows.select(
+        "annotation_id",
+        "sample_id",
+        F.when(tool, "tool").otherwise("direct").alias("route"),
+        "question",
+        first("answers").alias("answer"),
+        F.col("lowres_path").alias("low_path"),
+        F.concat(F.lit("crops/"), "sample_id", F.lit(".png")).alias("crop_path"),
+        F.col("lowres_size").alias("low_size"),
+        first("lowres_size").alias("low_width"),
+        F.get("lowres_size", F.lit(1)).alias("low_height"),
+        box.alias("box"),
+        "width",
+        "height",
+    )
 
 
 def prj08(spark, d):
-    turns = F.concat(F.transform(F.coalesce("answers", F.array().cast("array<string>")), lambda a: F.struct(F.lit("answer").alias("stage"), a.alias("text"))), F.array(F.struct(F.lit("question").alias("stage"), F.col("question").alias("text"))))
-    return _records(spark, d).select("sample_id", "batch_no", F.posexplode(turns).alias("turn_index", "t")).select("sample_id", "batch_no", "turn_index", "t.stage", "t.text")
+    return turns.turns(_trajectories(spark, d), "annotation_id").select("annotation_id", "route", "turn_index", "stage", F.sha2("prompt", 256).alias("prompt"), "images", "target")
+
+
+def src17(spark, d):
+    return turns.loader_checks(turns.turns(_trajectories(spark, d).filter("question IS NOT NULL"), "annotation_id"), "annotation_id")
 
 
 def prj12(spark, d):
-    text = F.replace("note", F.lit("the box"), F.lit("the region"))
-    rows = table(spark, d, "review_edit").distinct().filter("note IS NOT NULL")
-    changed = text != F.col("note")
-    return rows.select("sample_id", "updated_at", text.alias("note"), F.when(changed, F.array_append(F.array().cast("array<string>"), F.lit("box renamed"))).otherwise(F.array().cast("array<string>")).alias("log"))
+    """Thoughts of all questions, rewritten."""
+    text, log = turns.rewritten(turns.thought(F.coalesce("question", F.lit(""))))
+    return _records(spark, d).select("sample_id", "batch_no", text.alias("thought"), log.alias("log"))
 
 
 def prj16(spark, d):
@@ -49,11 +88,14 @@ def prj16(spark, d):
 
 
 def flt10(spark, d):
-    """First drift of an annotation from what batch 0 delivered for its sample."""
-    source = table(spark, d, "manifest").filter("batch_no = 0 AND sample_id IS NOT NULL").groupBy("sample_id").agg(F.min("question").alias("q"), F.min("width").alias("w"), F.min("height").alias("h"))
-    rows = _annotations(spark, d).join(source, "sample_id")
-    drift = F.when(~F.col("question").eqNullSafe(F.col("q")), "question").when(~F.col("width").eqNullSafe(F.col("w")) | ~F.col("height").eqNullSafe(F.col("h")), "size").when(F.size(F.coalesce("answers", F.array().cast("array<string>"))) == 0, "answers")
-    return rows.groupBy(drift.alias("drift")).agg(F.count("*").alias("n"))
+    """First drift of each trajectory from its source: what batch 0 delivered, and the sample's last label."""
+    least = lambda c, n: F.min(c).alias(n)
+    fields = table(spark, d, "manifest").filter("batch_no = 0 AND sample_id IS NOT NULL").groupBy("sample_id").agg(
+        least("question", "s_question"), least(F.get("answers", F.lit(0)), "s_answer"), least("lowres_size", "s_low_size"), least("width", "s_width"), least("height", "s_height"), least(normal_split(), "s_split"), least(normal_flag("use_tool"), "s_flag")
+    )
+    last = labels.latest(table(spark, d, "annotations"), F.get("region_annotation.reference_boxes_pixels", F.lit(0)).alias("s_box"), F.col("quality_checks.region_reward_eligible").alias("s_eligible"))
+    rows = _trajectories(spark, d).join(fields, "sample_id", "left").join(last, "sample_id", "left")
+    return rows.select("annotation_id", "route", turns.drift().alias("drift"))
 
 
 def joi04(spark, d):
@@ -124,9 +166,7 @@ def set05(spark, d):
 
 
 def scl13(spark, d):
-    text = F.lower("question")
-    thought = F.when(F.contains(text, F.lit("table")), "A table has to be read.").when(F.contains(text, F.lit("chart")), "A chart has to be read.").when(F.contains(text, F.lit("written")), "Text has to be read.").otherwise("The picture is too small.")
-    return _records(spark, d).groupBy(thought.alias("thought")).agg(F.count("*").alias("n"))
+    return _records(spark, d).groupBy(turns.thought(F.coalesce("question", F.lit(""))).alias("thought")).agg(F.count("*").alias("n"))
 
 
 def smp08(spark, d):
@@ -153,9 +193,10 @@ def srt05(spark, d):
 
 
 QUERIES = {
-    "prj02_sample_ids": prj02,
+    "prj02_manifest": prj02,
     "prj08_turns": prj08,
     "prj12_rewrites": prj12,
+    "src17_turn_loader": src17,
     "prj16_pivot": prj16,
     "flt10_drift": flt10,
     "flt11_paths": lambda s, d: _records(s, d).groupBy(shape.under(F.col("image_path"), "images").alias("inside")).agg(F.count("*").alias("n")),
@@ -190,15 +231,48 @@ _SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
 _HEX = rf"regexp_replace(regexp_replace(lower(regexp_replace(pixel_sha256, '{_SPACE}+', '', 'g')), '^([a-z][a-z0-9_-]*[:=])?(0x)?', ''), '^0+(.)', '\1')"
 _GROUP = f"""coalesce(nullif(lower(regexp_replace(group_key, '{_SPACE}+', '', 'g')), ''), 'doc:' || nullif(regexp_replace(doc_id, '^{_SPACE}+|{_SPACE}+$', '', 'g'), ''),
     'image:' || CASE WHEN regexp_full_match({_HEX}, '[0-9a-f]{{1,64}}') THEN lpad({_HEX}, 64, '0') END)"""
+_LOW = f"lower(regexp_replace(split, '^{_SPACE}+|{_SPACE}+$', '', 'g'))"
+_SPLIT = f"CASE WHEN {_LOW} = 'training' THEN 'train' WHEN {_LOW} IN ('valid', 'validation', 'dev') THEN 'val' WHEN {_LOW} = 'testing' THEN 'test' ELSE nullif({_LOW}, '') END"
+_FLAG = f"lower(regexp_replace(use_tool, '^{_SPACE}+|{_SPACE}+$', '', 'g'))"
+_BOX = "region_annotation.reference_boxes_pixels[1]"
+_IS_BOX = f"coalesce(len({_BOX}) = 4 AND len(list_filter({_BOX}, lambda v: v IS NULL OR v < 0)) = 0 AND {_BOX}[1] < {_BOX}[3] AND {_BOX}[2] < {_BOX}[4] AND {_BOX}[3] <= width AND {_BOX}[4] <= height, FALSE)"
+_T = f"""t AS (SELECT annotation_id, sample_id, CASE WHEN coalesce(lower(regexp_replace(source_info.use_tool, '^{_SPACE}+|{_SPACE}+$', '', 'g')) IN ('true', '1'), FALSE) AND {_IS_BOX} THEN 'tool' ELSE 'direct' END AS route, question, answers[1] AS answer,
+    lowres_path AS low_path, lowres_size AS low_size, lowres_size[1] AS low_width, lowres_size[2] AS low_height, {_BOX} AS box, width, height FROM a WHERE annotation_id IS NOT NULL AND sample_id IS NOT NULL)"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _says(words: list[str]) -> str:
+    return " OR ".join(f"contains(lower(question), '{w}')" for w in words)
+
+
+_THOUGHT = "CASE" + "".join(f" WHEN {_says(words)} THEN {_quoted(t)}" for t, words in turns.THOUGHTS.items()) + f" ELSE {_quoted(turns.OTHER_THOUGHT)} END"
 
 SQL = {
-    "prj02_sample_ids": f"WITH {_M} SELECT batch_no, sample_id, 'smart-' || replace(source_key, 'smart_', '') || '-' || printf('%05d', source_row_id) AS made_id FROM m WHERE source_row_id IS NOT NULL",
-    "prj08_turns": f"""WITH {_M}, t AS (SELECT sample_id, batch_no, coalesce(answers, []) AS s, question FROM m)
-        SELECT sample_id, batch_no, CAST(i - 1 AS INTEGER) AS turn_index, 'answer' AS stage, s[i] AS text FROM t, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i) UNION ALL SELECT sample_id, batch_no, CAST(len(s) AS INTEGER), 'question', question FROM t""",
-    "prj12_rewrites": "SELECT sample_id, updated_at, replace(note, 'the box', 'the region') AS note, CASE WHEN contains(note, 'the box') THEN ['box renamed'] ELSE [] END AS log FROM (SELECT DISTINCT * FROM review_edit) WHERE note IS NOT NULL",
+    "prj02_manifest": f"""WITH {_M}, r AS (SELECT *, 'smart-' || replace(source_key, 'smart_', '') || '-' || printf('%05d', source_row_id) AS made FROM m WHERE source_row_id IS NOT NULL AND source_key IS NOT NULL)
+        SELECT made AS sample_id, source, source_revision, source_access, source_shard, source_row_in_shard, source_row_id, doc_id, selection_seed, selection_score, data_source, width, height, source_image_size, lowres_size, image_sha256, source_bytes_sha256, pixel_sha256, dhash,
+        question, answers, original_answer, {_GROUP} AS group_id, {_SPLIT} AS split, FALSE AS formal_split_audit_pending, to_json(source_info)::VARCHAR AS source_info, 'images/' || made || '.png' AS image_path, 'originals/' || made || '.bin' AS original_bytes_path, 'lowres/' || made || '.png' AS lowres_path FROM r""",
+    "prj08_turns": f"""WITH {_A}, {_T}, u AS (SELECT *, 0 AS i FROM t UNION ALL SELECT *, 1 FROM t WHERE route = 'tool')
+        SELECT annotation_id, route, CAST(i AS INTEGER) AS turn_index, CASE i WHEN 0 THEN 'decision' ELSE 'answer_after_tool' END AS stage,
+        sha256(CASE i WHEN 0 THEN replace(replace(replace({_quoted(turns.FIRST)}, '{{width}}', CAST(low_width AS VARCHAR)), '{{height}}', CAST(low_height AS VARCHAR)), '{{question}}', question) ELSE replace({_quoted(turns.SECOND)}, '{{question}}', question) END) AS prompt,
+        CASE i WHEN 0 THEN [low_path] ELSE [low_path, 'crops/' || sample_id || '.png'] END AS images,
+        CASE WHEN i = 1 THEN '<think>The region shows the answer.</think>' || chr(10) || chr(10) || '<answer>' || coalesce(answer, '') || '</answer>' WHEN route = 'tool' THEN '<think>' || replace({_THOUGHT}, 'marked region', 'relevant region') || '</think>' || chr(10) || chr(10) ||
+        '<tool_call>{{"name":"request_local_region","arguments":{{"bbox_2d":[' || box[1] * 1000 // width || ',' || box[2] * 1000 // height || ',' || (box[3] * 1000 + width - 1) // width || ',' || (box[4] * 1000 + height - 1) // height || ']}}}}</tool_call>'
+        ELSE '<think>The picture shows the answer.</think>' || chr(10) || chr(10) || '<answer>' || coalesce(answer, '') || '</answer>' END AS target FROM u""",
+    "src17_turn_loader": f"""WITH {_A}, {_T}, q AS (SELECT * FROM t WHERE question IS NOT NULL) SELECT 'unknown turn' AS rule, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'lone first turn', 0 UNION ALL SELECT 'repeated turn', 0
+        UNION ALL SELECT 'placeholders', (SELECT count(*) FILTER (WHERE low_width IS NULL OR low_height IS NULL OR contains(question, '<image>')) + count(*) FILTER (WHERE route = 'tool' AND contains(question, '<image>')) FROM q)""",
+    "prj12_rewrites": f"""WITH {_M}, x AS (SELECT sample_id, batch_no, {_THOUGHT} AS t FROM m) SELECT sample_id, batch_no, replace(t, 'marked region', 'relevant region') AS thought,
+        CASE WHEN contains(t, 'marked region') THEN ['Replaced ''marked region'' with ''relevant region''.'] ELSE [] END AS log FROM x""",
     "prj16_pivot": f"WITH {_E} SELECT sample_id, {', '.join(f'''round(max(vision_ratio) FILTER (WHERE dataset = '{n}'), 6) AS {n}''' for n in ('dockqa', 'signbench', 'dialset', 'sheetprobe', 'streetyn'))} FROM e WHERE sample_id IS NOT NULL GROUP BY 1",
-    "flt10_drift": f"""WITH {_A}, s AS (SELECT sample_id, min(question) AS q, min(width) AS w, min(height) AS h FROM manifest WHERE batch_no = 0 AND sample_id IS NOT NULL GROUP BY 1)
-        SELECT CASE WHEN question IS DISTINCT FROM q THEN 'question' WHEN width IS DISTINCT FROM w OR height IS DISTINCT FROM h THEN 'size' WHEN coalesce(len(answers), 0) = 0 THEN 'answers' END AS drift, count(*) AS n FROM a JOIN s USING (sample_id) GROUP BY 1""",
+    "flt10_drift": f"""WITH {_A}, {_T}, s AS (SELECT sample_id, min(question) AS sq, min(answers[1]) AS sa, min(lowres_size) AS sl, min(width) AS sw, min(height) AS sh, min({_SPLIT}) AS ss, min(CASE WHEN {_FLAG} IN ('true', '1') THEN TRUE WHEN {_FLAG} IN ('false', '0') THEN FALSE END) AS sf
+            FROM manifest WHERE batch_no = 0 AND sample_id IS NOT NULL GROUP BY 1),
+        l AS (SELECT sample_id, arg_max({{'b': region_annotation.reference_boxes_pixels[1], 'e': quality_checks.region_reward_eligible}}, {{'t': annotated_at, 'i': annotation_id}}) AS l FROM annotations WHERE sample_id IS NOT NULL GROUP BY 1),
+        j AS (SELECT t.*, s.*, l.l.b AS sb, l.l.e AS se FROM t LEFT JOIN s ON s.sample_id = t.sample_id LEFT JOIN l ON l.sample_id = t.sample_id)
+        SELECT annotation_id, route, CASE WHEN ss IS DISTINCT FROM 'train' THEN 'not a training source' WHEN answer IS DISTINCT FROM sa OR answer IS NULL THEN 'gold answer' WHEN question IS DISTINCT FROM sq THEN 'question'
+        WHEN low_size IS DISTINCT FROM sl OR width IS DISTINCT FROM sw OR height IS DISTINCT FROM sh THEN 'picture size' WHEN route = 'tool' AND NOT coalesce(sf, FALSE) THEN 'no tool hint' WHEN route = 'tool' AND NOT coalesce(se, FALSE) THEN 'no verified region'
+        WHEN route = 'tool' AND box IS DISTINCT FROM sb THEN 'source box' WHEN route <> 'tool' AND coalesce(sf, TRUE) THEN 'unexpected tool hint' END AS drift FROM j""",
     "flt11_paths": f"WITH {_M}, r AS (SELECT image_path, {_RESOLVED} AS r FROM m) SELECT coalesce(NOT starts_with(image_path, '/') AND r[1] = 'images' AND len(r) > 1, FALSE) AS inside, count(*) AS n FROM r GROUP BY 1",
     "flt13_slice": f"WITH {_E} SELECT eval_id FROM e WHERE used_tool AND eval_id IS NOT NULL ORDER BY eval_id OFFSET 5 LIMIT 20",
     "joi04_fingerprints": f"WITH {_A}, f AS (SELECT sample_id, first(annotation_meta.request_fingerprint ORDER BY annotation_id) AS x, last(annotation_meta.request_fingerprint ORDER BY annotation_id) AS y FROM a WHERE sample_id IS NOT NULL GROUP BY 1) SELECT sample_id, x IS NOT DISTINCT FROM y AS same FROM f",
@@ -215,7 +289,7 @@ SQL = {
     "agg11_training_metrics": f"WITH {_E}, f AS (SELECT sample_id, arg_min({{'c': correct, 't': used_tool}}, eval_id) AS r FROM e WHERE sample_id IS NOT NULL GROUP BY 1) SELECT count(*) AS n, round(avg(CAST(r.c AS DOUBLE)), 6) AS accuracy, round(avg(CAST(r.t AS DOUBLE)), 6) AS tool_rate FROM f",
     "win15_context": f"WITH {_M} SELECT sample_id, batch_no, array_to_string(string_split(coalesce(question, ''), ' ')[2:6], ' ') AS context FROM m",
     "set05_replaced": "SELECT batch_no, count(*) AS n FROM (SELECT sample_id, max(batch_no) AS batch_no FROM manifest WHERE sample_id IS NOT NULL AND batch_no IS NOT NULL GROUP BY 1) GROUP BY 1",
-    "scl13_thoughts": f"""WITH {_M} SELECT CASE WHEN contains(lower(question), 'table') THEN 'A table has to be read.' WHEN contains(lower(question), 'chart') THEN 'A chart has to be read.' WHEN contains(lower(question), 'written') THEN 'Text has to be read.' ELSE 'The picture is too small.' END AS thought, count(*) AS n FROM m GROUP BY 1""",
+    "scl13_thoughts": f"WITH {_M} SELECT {_THOUGHT} AS thought, count(*) AS n FROM m GROUP BY 1",
     "snk08_summary": f"""WITH {_E}, c AS (SELECT coalesce(dataset, '') AS k, count(*) AS n FROM e GROUP BY dataset) SELECT CAST(sum(n) AS BIGINT) AS rows, '{{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}}' AS strata FROM c""",
     "smp08_yes_no_pairs": f"""WITH {_M}, r AS (SELECT source_key, {_GROUP} AS image, lower(regexp_replace(answers[1], '^{_SPACE}+|{_SPACE}+$', '', 'g')) AS a, sample_id, sha256('{SEED}:' || sample_id) AS digest FROM m WHERE sample_id IS NOT NULL),
         p AS (SELECT source_key, image, arg_min(sample_id, digest) FILTER (WHERE a = 'yes') AS yes_id, arg_min(sample_id, digest) FILTER (WHERE a = 'no') AS no_id FROM r WHERE image IS NOT NULL GROUP BY 1, 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import actions, answers
-from ..operators import labels
+from ..operators import labels, turns
 from ..operators.metrics import mean
 from ..session import table
 
@@ -34,26 +34,14 @@ def scl04(spark, d):
 
 def scl07(spark, d):
     kinds = F.when(F.col("data_source") == "pier_sheets", "ChartQA").when(F.col("data_source") == "shop_receipts", "OCRBench").otherwise("MathVerse")
-    return _answered(spark, d).withColumn("s", answers.score_of(kinds, F.lit("free-form"), F.col("prediction"), F.col("answers"))).select("annotation_id", "s.correct", "s.method")
+    return _answered(spark, d).withColumn("s", answers.score_of(kinds, F.when(F.col("annotation_id") % 2 == 0, "multi-choice").otherwise("free-form"), F.col("prediction"), F.col("answers"))).select("annotation_id", "s.correct", "s.method")
 
 
-def agg10(spark, d):
-    rows = _parsed(spark, d)
-    histogram = rows.groupBy("source", F.coalesce("error", F.lit("none")).alias("e")).agg(F.count("*").alias("n"), F.count(F.when(F.col("valid"), 1)).alias("v"), F.count(F.when(F.col("kind") == "tool", 1)).alias("t"))
-    # Sources times error texts, a small table.
-    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("e", "n"))))
-    return histogram.groupBy("source").agg(F.sum("n").alias("turns"), F.round(F.sum("v") / F.sum("n"), 6).alias("valid_rate"), F.round(F.sum("t") / F.sum("n"), 6).alias("tool_rate"), entries.alias("errors"))
-
-
-def scl57(spark, d):
-    text = F.col("text")
-    return _turns(spark, d).select(
-        "doc_id",
-        F.coalesce(F.startswith(text, F.lit("<think>")), F.lit(False)).alias("starts_thinking"),
-        F.coalesce(F.contains(text, F.lit("</think>")), F.lit(False)).alias("ends_thinking"),
-        F.coalesce(F.contains(text, F.lit("<tool_call>")), F.lit(False)).alias("calls"),
-        F.coalesce(F.regexp_count(text, F.lit("<answer>")), F.lit(0)).alias("answers"),
-    )
+def _inspected(spark, d):
+    """Rollouts and targets as generations; blank-separated words stand for tokens, an end inside a tag or text for a length limit."""
+    rows = _turns(spark, d).withColumn("a", actions.parsed(F.col("text")))
+    finish = F.when(F.endswith(F.rtrim("text"), F.lit(">")), "stop").when(F.col("text").isNotNull(), "length")
+    return rows.select("doc_id", "source", *turns.inspected("text", finish, F.size(F.split(F.coalesce("text", F.lit("")), " ")), F.get(F.split("text", " "), F.lit(0))))
 
 
 QUERIES = {
@@ -62,13 +50,14 @@ QUERIES = {
     "scl03_joi19_matches": scl03,
     "scl04_partial_credit": scl04,
     "scl07_benchmark_scores": scl07,
-    "agg10_turn_summary": agg10,
+    "agg10_turn_summary": lambda s, d: turns.turn_summary(_inspected(s, d), "source"),
     "scl08_actions": lambda s, d: _parsed(s, d).select("doc_id", "kind", "valid", "answer", "error"),
     "scl09_says_something": lambda s, d: table(s, d, "documents").select("doc_id", actions.says_something_of("text").alias("something")),
     "scl11_answer_candidates": lambda s, d: table(s, d, "documents").select("doc_id", actions.answer_candidate("text").alias("candidate")),
     "scl14_placeholders": lambda s, d: table(s, d, "documents").select("doc_id", F.coalesce(actions.placeholders(F.col("text")), F.lit(0)).alias("images")),
     "prj10_prj11_targets": lambda s, d: _answered(s, d).select("annotation_id", actions.tagged(F.coalesce("prediction", F.lit("")), actions.call_text(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4))), actions.CALL).alias("target")),
-    "scl57_inspection": scl57,
+    "scl57_inspection": lambda s, d: _inspected(s, d).drop("source", "valid_action", "action_kind", "parse_error"),
+    "scl57_actions": lambda s, d: _inspected(s, d).select("doc_id", "valid_action", "action_kind", "parse_error"),
     "scl04_mean_credit": lambda s, d: scl04(s, d).agg(mean("score").alias("score")),
 }
 
@@ -81,6 +70,6 @@ SQL = {
     "scl11_answer_candidates": f"SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '(?s)<answer>.*?</answer>')) = 1 THEN nullif({_BARE}, '') END AS candidate FROM documents",
     "scl14_placeholders": "SELECT doc_id, CAST(coalesce((length(text) - length(replace(text, '<image>', ''))) // 7, 0) AS INTEGER) AS images FROM documents",
     "prj10_prj11_targets": """SELECT DISTINCT annotation_id, '<think>' || coalesce(region_annotation.answer_from_image, '') || '</think>' || chr(10) || chr(10) || '<tool_call>{"name":"request_local_region","arguments":{"bbox_2d":[1,2,3,4]}}</tool_call>' AS target FROM annotations""",
-    "scl57_inspection": """SELECT doc_id, coalesce(starts_with(text, '<think>'), FALSE) AS starts_thinking, coalesce(contains(text, '</think>'), FALSE) AS ends_thinking, coalesce(contains(text, '<tool_call>'), FALSE) AS calls,
-        CAST(coalesce((length(text) - length(replace(text, '<answer>', ''))) // 8, 0) AS INTEGER) AS answers FROM documents WHERE source IN ('rollout_log', 'sft_target')""",
+    "scl57_inspection": """SELECT doc_id, text AS raw_completion, CASE WHEN ends_with(rtrim(text, ' '), '>') THEN 'stop' WHEN text IS NOT NULL THEN 'length' END AS finish_reason, CAST(len(string_split(coalesce(text, ''), ' ')) AS INTEGER) AS generated_tokens,
+        string_split(text, ' ')[1] AS first_token, coalesce(starts_with(text, '<think>'), FALSE) AS starts_with_think, coalesce(contains(text, '</think>'), FALSE) AS has_closing_think FROM documents WHERE source IN ('rollout_log', 'sft_target')""",
 }
