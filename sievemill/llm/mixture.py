@@ -7,14 +7,15 @@ part for all of them, the fraction as a probability.
 
 The fraction is drawn as a sequential Poisson sample: a document's hash over its probability gives the
 order, and a source takes documents in it until its tokens are reached, so its share is met within half a
-document. Cells are a small table (sources of the weights table, languages of two or three letters, six
-topics); documents never leave the executors.
+document. Cells are a bounded table: at most MOST_SOURCES sources of the weights table, the MOST_LANGUAGES
+languages with the most tokens and one for the rest, six topics; documents never leave the executors.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,12 @@ ROUNDS = 100
 #: More rows than this in the weights table are refused: the raking is done in the driver.
 MOST_SOURCES = 10_000
 BINS = 1 << 15
+#: Change of a weight below which the raking ends.
+CLOSE = 1e-9
+#: Languages with the most tokens that have cells of their own; the others share one, so the cells stay few.
+MOST_LANGUAGES = 500
+#: Cells that are broadcast; more are joined by a shuffle.
+BROADCAST_CELLS = 1 << 18
 
 
 def language(column: str = "lang"):
@@ -49,48 +56,46 @@ def rake(cells: dict[tuple[str, str, str], int], targets: dict[str, float], caps
 
     Weights lie between 0 and the source's cap. The sources' targets are met exactly where the cap allows,
     else the source is at its cap; languages and topics as near to their natural shares as that leaves them.
+    It ends when no weight changes by more than CLOSE, or after ``rounds``.
     """
-    held: dict[str, int] = defaultdict(int)
-    for (s, _, _), n in cells.items():
-        held[s] += n
-    goal = {s: min(targets.get(s, 0.0), float(caps.get(s, 1) * held[s])) for s in held}
-    total, own = sum(goal.values()), sum(held.values())
-    weight = {c: (min(goal[c[0]] / held[c[0]], caps.get(c[0], 1)) if held[c[0]] else 0.0) for c in cells}
+    if not cells:
+        return {}
+    names = list(cells)
+    tokens = np.array([cells[c] for c in names], float)
+    index = [np.unique([c[axis] for c in names], return_inverse=True) for axis in range(3)]
+    sources, own = index[0]
+    sums = lambda at, values: np.bincount(at, values)
+    held = sums(own, tokens)
+    cap = np.array([float(caps.get(s, 1)) for s in sources])
+    goal = np.minimum([targets.get(s, 0.0) for s in sources], cap * held)
+    # What each language and topic would have if the mixture were as the sources' own texts.
+    natural = [sums(at, tokens) * goal.sum() / max(tokens.sum(), 1.0) for _, at in index[1:]]
+    weight = np.minimum(goal / np.maximum(held, 1.0), cap)[own]
     for _ in range(rounds):
-        for axis in (1, 2):
-            natural: dict[str, float] = defaultdict(float)
-            now: dict[str, float] = defaultdict(float)
-            for c, n in cells.items():
-                natural[c[axis]] += n * total / own if own else 0.0
-                now[c[axis]] += n * weight[c]
-            for c in cells:
-                if now[c[axis]] > 0:
-                    weight[c] = min(weight[c] * natural[c[axis]] / now[c[axis]], caps.get(c[0], 1))
-        for s in held:
-            _fill(weight, {c: n for c, n in cells.items() if c[0] == s}, goal[s], caps.get(s, 1))
-    return weight
-
-
-def _fill(weight: dict, cells: dict, goal: float, cap: int) -> None:
-    """Scale the weights of one source to its goal; what exceeds the cap goes to the others."""
-    free = {c for c, n in cells.items() if n}
-    if not any(weight[c] > 0 for c in free) and goal > 0:
-        for c in free:
-            weight[c] = 1.0
-    while free:
-        fixed = sum(n * weight[c] for c, n in cells.items() if c not in free)
-        now = sum(cells[c] * weight[c] for c in free)
-        if now <= 0:
+        before = weight
+        for (_, at), wanted in zip(index[1:], natural, strict=True):
+            now = sums(at, tokens * weight)
+            factor = np.divide(wanted, now, out=np.ones_like(now), where=now > 0)
+            weight = np.minimum(weight * factor[at], cap[own])
+        weight = _filled(weight, tokens, own, goal, cap)
+        if np.abs(weight - before).max() <= CLOSE:
             break
-        factor = max(0.0, goal - fixed) / now
-        over = {c for c in free if weight[c] * factor > cap * (1 + 1e-12)}
-        if not over:
-            for c in free:
-                weight[c] = min(weight[c] * factor, cap)
-            break
-        for c in over:
-            weight[c] = float(cap)
-        free -= over
+    return dict(zip(names, weight.tolist(), strict=True))
+
+
+def _filled(weight: np.ndarray, tokens: np.ndarray, own: np.ndarray, goal: np.ndarray, cap: np.ndarray) -> np.ndarray:
+    """The weights scaled within each source to its goal; what exceeds the cap goes to the source's other cells."""
+    free = tokens > 0
+    empty = np.bincount(own, weight * free) <= 0
+    weight = np.where(free & empty[own] & (goal > 0)[own], 1.0, weight)
+    while True:
+        fixed, now = np.bincount(own, tokens * weight * ~free, len(goal)), np.bincount(own, tokens * weight * free, len(goal))
+        factor = np.divide(np.maximum(goal - fixed, 0.0), now, out=np.ones_like(now), where=now > 0)
+        over = free & (weight * factor[own] > cap[own] * (1 + 1e-12))
+        if not over.any():
+            return np.where(free, np.minimum(weight * factor[own], cap[own]), weight)
+        weight = np.where(over, cap[own], weight)
+        free = free & ~over
 
 
 class Mixture:
@@ -114,7 +119,11 @@ class Mixture:
         self.caps = {r["source"]: r["cap"] for r in rows}
         names = F.broadcast(plan.select("source"))  # at most MOST_SOURCES rows
         self.wanted = self.documents.join(names, "source", "left_semi").filter("tokens > 0")
+        common = self.wanted.groupBy("language").agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), "language").limit(MOST_LANGUAGES)
+        common = [r["language"] for r in common.collect()]
+        self.wanted = self.wanted.withColumn("language", F.when(F.col("language").isin(common), F.col("language")).otherwise("other"))
         cells = {(r["source"], r["language"], r["topic"]): r["n"] for r in self.wanted.groupBy("source", "language", "topic").agg(F.sum("tokens").alias("n")).collect()}
+        self.tokens = cells
         self.weights = rake(cells, self.targets, self.caps)
         extra: dict[str, float] = defaultdict(float)
         table = []
@@ -123,19 +132,22 @@ class Mixture:
             part = max(0.0, self.weights[c] - whole)
             extra[c[0]] += n * part
             table.append((*c, whole, part if part > 1e-9 else 0.0))
+        self._few = len(table) <= BROADCAST_CELLS
         self._cells = spark.createDataFrame(table, "source string, language string, topic string, whole int, part double")
         self._extra = spark.createDataFrame([(s, x) for s, x in extra.items()], "source string, wanted double")
 
     def documents_used(self) -> DataFrame:
         """(doc_id, source, tokens, repeats) of the documents in the mixture."""
-        rows = self.wanted.join(F.broadcast(self._cells), ["source", "language", "topic"])
+        return self._used(["doc_id", "source", "tokens", "repeats"])
+
+    def _used(self, columns: list[str]) -> DataFrame:
+        rows = self.wanted.join(F.broadcast(self._cells) if self._few else self._cells, ["source", "language", "topic"])
         fixed = rows.filter("part = 0").withColumn("repeats", F.col("whole"))
         # The order is the hash over the probability; on a scale of octaves no bin holds more than a hundredth of a cell.
         order = F.greatest(hashing.stable_unit(self.salt, F.col("doc_id")), F.lit(2.0**-60)) / F.col("part")
         drawn = rows.filter("part > 0").withColumn("unit", F.lit(0.5) + F.log2(order) / 128)
         drawn = hash_order_sum(drawn, ["source"], "unit", ["doc_id"], weight=F.col("tokens"), out="upto", bins=BINS)
         drawn = drawn.join(F.broadcast(self._extra), "source").withColumn("repeats", F.col("whole") + F.when(F.col("upto") - F.col("tokens") / 2 <= F.col("wanted"), 1).otherwise(0))
-        columns = ["doc_id", "source", "tokens", "repeats"]
         return fixed.select(columns).unionByName(drawn.select(columns)).filter("repeats > 0")
 
     def report(self) -> DataFrame:
@@ -153,3 +165,19 @@ class Mixture:
             .withColumn("short", F.col("target_tokens") > F.col("max_repeats") * F.col("available_tokens"))
             .drop("mixed")
         )
+
+    def marginals(self) -> DataFrame:
+        """(axis, value, natural_share, raked_share, actual_share) of each language and topic: its share of the tokens of the sources' own texts, of the raked weights, and of the mixture drawn."""
+        spark = self.documents.sparkSession
+        cells = self.weights
+        rows = []
+        for axis, name in ((1, "language"), (2, "topic")):
+            for value in sorted({c[axis] for c in cells}):
+                of = [c for c in cells if c[axis] == value]
+                rows.append((name, value, float(sum(self.tokens[c] for c in of)), float(sum(self.tokens[c] * cells[c] for c in of))))
+        plan = spark.createDataFrame(rows, "axis string, value string, natural double, raked double")
+        axes = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("value")) for a in ("language", "topic")])
+        used = self._used(["language", "topic", "tokens", "repeats"]).select(F.inline(axes), (F.col("tokens") * F.col("repeats")).alias("n"))
+        joined = plan.join(used.groupBy("axis", "value").agg(F.sum("n").alias("used")), ["axis", "value"], "left").withColumn("used", F.coalesce("used", F.lit(0)).cast("double"))
+        share = lambda c: F.coalesce(F.try_divide(F.col(c), F.sum(c).over(Window.partitionBy("axis"))), F.lit(0.0))  # noqa: E731 - a bounded table
+        return joined.select("axis", "value", share("natural").alias("natural_share"), share("raked").alias("raked_share"), share("used").alias("actual_share"))

@@ -29,8 +29,10 @@ QUERIES = {
     "p6_decoded": lambda spark, d: bpe.decode(bpe.encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")).select("doc_id", "decoded"),
     "p7_documents": lambda spark, d: _mixture(spark, d).documents_used(),
     "p7_shares": lambda spark, d: _mixture(spark, d).report(),
+    "p7_marginals": lambda spark, d: _mixture(spark, d).marginals(),
     "p8_found": lambda spark, d: truncation.cut_documents(table(spark, d, "documents")),
     "p8_sources": lambda spark, d: truncation.by_source(table(spark, d, "documents")),
+    "p8_evidence": lambda spark, d: truncation.by_evidence(table(spark, d, "documents")),
 }
 
 _SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]"

@@ -72,6 +72,11 @@ def test_raking():
     assert sums("a") == pytest.approx(100) and sums("b") == pytest.approx(90) and sums("c") == pytest.approx(15)
     assert all(0 <= w <= {"a": 1, "b": 2, "c": 3}[c[0]] + 1e-9 for c, w in weight.items())
     assert mixture.rake({}, {"a": 1.0}, {}) == {}
+    assert mixture.rake({("a", "en", "x"): 0}, {"a": 5.0}, {"a": 2})[("a", "en", "x")] <= 2
+    # Without caps in the way the languages keep their natural shares: half and half.
+    cells = {("a", "en", "x"): 900, ("a", "de", "x"): 100, ("b", "en", "x"): 100, ("b", "de", "x"): 900}
+    weight = mixture.rake(cells, {"a": 300.0, "b": 100.0}, {"a": 5, "b": 5})
+    assert sum(n * weight[c] for c, n in cells.items() if c[1] == "de") == pytest.approx(200, abs=1e-3)
 
 
 def test_mixture(spark):
@@ -89,7 +94,12 @@ def test_mixture(spark):
     assert report["small"]["actual_share"] == pytest.approx(min(0.2, 3 * report["small"]["available_tokens"] / mix.total), abs=0.002)
     assert (report["empty"]["used_tokens"], report["empty"]["short"]) == (0, True)
     assert {r["doc_id"]: r["repeats"] for r in mixture.Mixture(docs.repartition(5), weights).documents_used().collect()} == {i: r["repeats"] for i, r in used.items()}
+    for axis in ("language", "topic"):
+        rows = [r for r in mix.marginals().collect() if r["axis"] == axis]
+        assert sum(r["actual_share"] for r in rows) == pytest.approx(1) == sum(r["natural_share"] for r in rows)
+        assert all(abs(r["actual_share"] - r["raked_share"]) < 0.03 for r in rows)
     none = mixture.Mixture(docs.limit(0), weights)
+    assert none.marginals().count() == 0
     assert none.documents_used().count() == 0 and none.report().count() == 3
 
 
