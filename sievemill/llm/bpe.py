@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -186,11 +187,49 @@ class _Words(dict):
             self.automaton.table.clear()
 
 
+def _ranges(kind: str) -> str:
+    """The characters up to U+FFFF of a kind, such as ``\\p{L}``, as the inside of a character set."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x10000))))
+    return "".join(re.escape(run[0]) if len(run) == 1 else f"{re.escape(run[0])}-{re.escape(run[-1])}" for run in _runs(regex.findall(kind, every)))
+
+
+def _runs(characters: list[str]) -> Iterator[str]:
+    """Runs of characters that follow each other."""
+    begin = 0
+    for i in range(1, len(characters) + 1):
+        if i == len(characters) or ord(characters[i]) != ord(characters[i - 1]) + 1:
+            yield "".join(characters[begin:i])
+            begin = i
+
+
+@functools.lru_cache(maxsize=4)
+def splitter(pattern: str):
+    """A function from text to words: ``findall`` of the pattern.
+
+    Texts without characters above U+FFFF go through the standard library's engine, which looks up sets of characters
+    in a bitmap; the pattern's kinds are spelled out for it. Other texts, and patterns with other kinds, take ``regex``.
+    """
+    general = regex.compile(pattern).findall
+    out, inside = "", False
+    for part in re.split(r"(\\p\{[LN]\}|\\s|\\S|\\.|\[\^?|\])", pattern):
+        if part in (r"\p{L}", r"\p{N}", r"\s"):
+            out += _ranges(part) if inside else f"[{_ranges(part)}]"
+        elif part == r"\S" and not inside:
+            out += f"[^{_ranges(chr(92) + 's')}]"
+        elif part.startswith("\\"):
+            return general
+        else:
+            inside = part.startswith("[") or (inside and part != "]")
+            out += part
+    quick = re.compile(out).findall
+    return lambda text: quick(text) if text.isascii() or 2 * len(text) == len(text.encode("utf-16-le", "surrogatepass")) else general(text)
+
+
 class Encoder:
     def __init__(self, raw: bytes, pattern: str = PATTERN):
         self.automaton = Automaton(*read_vocabulary(raw))
         self.words = _Words(self.automaton)
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
 
     def _numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(number of each word of the texts, number of words up to each text)."""

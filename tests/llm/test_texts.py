@@ -45,6 +45,18 @@ def test_vocabulary_and_batches():
     assert ENCODER.encode_all([])[1].tolist() == [0] and ENCODER.encode_all([None])[1].tolist() == [0, 0]
 
 
+def test_splitting():
+    """The quick engine against the general one, on every character up to U+FFFF and on random texts."""
+    import regex
+
+    general, quick = regex.compile(bpe.PATTERN).findall, bpe.splitter(bpe.PATTERN)
+    rng = random.Random(5)
+    every = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c} {c}{c}  {c}1" for c in every] + ["".join(rng.choices([*"ab1 \n\t'.", "'s", "é", "中", "½", "\u3000", "\u200d", "😀", "\x1c", "\x85"], k=rng.randrange(30))) for _ in range(3000)]
+    assert all(quick(t) == general(t) for t in texts)
+    assert bpe.splitter(r"\p{Lu}+|\d|.")("ABc1") == ["AB", "c", "1"]
+
+
 def test_rank_files_give_the_same_merges():
     small = {s: i for s, i in ENCODER.automaton.vocab.items() if i < 2000}
     import base64
