@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import normal_flag
+from .quantiles import with_quantiles
 
 PLACES = 6
 
@@ -114,17 +115,17 @@ def finite(*columns: str) -> Column:
 def differences(df: DataFrame, p: str, q: str, keys: list[str]) -> DataFrame:
     """AGG16: distribution of abs(p - q) by ``keys``: counts, moments, quantiles and exceedance rates; pairs not finite are counted apart."""
     rows = df.select(*keys, finite(p, q).alias("ok"), F.when(finite(p, q), F.abs(F.col(p) - F.col(q))).alias("d"))
-    quantiles = [rounded(F.percentile("d", F.lit(x))).alias(n) for n, x in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
     over = [mean(F.col("d") > t).alias(f"over_{str(t).replace('0.', '')}") for t in (0.01, 0.05, 0.1, 0.5)]
-    return rows.groupBy(*keys).agg(F.count("*").alias("requested"), F.count("d").alias("finite"), F.count(F.when(~F.col("ok"), 1)).alias("not_finite"), mean("d").alias("mean"), rounded(F.stddev_pop("d")).alias("std"), rounded(F.max("d")).alias("max"), *quantiles, *over)
+    out = rows.groupBy(*keys).agg(F.count("*").alias("requested"), F.count("d").alias("finite"), F.count(F.when(~F.col("ok"), 1)).alias("not_finite"), mean("d").alias("mean"), rounded(F.stddev_pop("d")).alias("std"), rounded(F.max("d")).alias("max"), *over)
+    return with_quantiles(out, rows, keys, "d", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, PLACES)
 
 
 def ratios(df: DataFrame, new: str, old: str, keys: list[str], low: float = 0.8, high: float = 1.28) -> DataFrame:
     """AGG17: distribution of exp(new - old) by ``keys``, exponents cut at 20, with the part outside [low, high]."""
     r = F.when(finite(new, old), F.exp(F.least(F.lit(20.0), F.greatest(F.lit(-20.0), F.col(new) - F.col(old)))))
     rows = df.select(*keys, r.alias("r"))
-    quantiles = [rounded(F.percentile("r", F.lit(x))).alias(n) for n, x in (("p01", 0.01), ("p50", 0.5), ("p99", 0.99))]
-    return rows.groupBy(*keys).agg(F.count("r").alias("finite"), (F.count("*") - F.count("r")).alias("not_finite"), mean("r").alias("mean"), rounded(F.min("r")).alias("min"), rounded(F.max("r")).alias("max"), *quantiles, mean((F.col("r") < low) | (F.col("r") > high)).alias("outside"))
+    out = rows.groupBy(*keys).agg(F.count("r").alias("finite"), (F.count("*") - F.count("r")).alias("not_finite"), mean("r").alias("mean"), rounded(F.min("r")).alias("min"), rounded(F.max("r")).alias("max"), mean((F.col("r") < low) | (F.col("r") > high)).alias("outside"))
+    return with_quantiles(out, rows, keys, "r", {"p01": 0.01, "p50": 0.5, "p99": 0.99}, PLACES)
 
 
 def deltas(df: DataFrame, a: str, b: str, stage: str) -> DataFrame:

@@ -147,7 +147,8 @@ def smp02(spark, d):
 
 
 def audit(spark, d):
-    return selection.audit(Workspace(spark, "audit").save(_selected(spark, d), "rows"))
+    """Violations among the records as delivered, which are many."""
+    return selection.audit(selection.candidates(table(spark, d, "manifest")).select("group_key", "pixel", "dhash").distinct())
 
 
 def smp04(spark, d):
@@ -270,7 +271,9 @@ SQL = {
     "joi08_free_images": f"WITH {_M}, r AS (SELECT sample_id, batch_no, {_hash('pixel_sha256', 64)} AS p, {_SPLIT} AS split FROM m) SELECT sample_id, batch_no FROM r WHERE split = 'train' AND NOT EXISTS (SELECT 1 FROM r t WHERE t.split IN ('val', 'test') AND t.p = r.p)",
     "joi09_scl43_near_hashes": f"""WITH {_HASHES}, l AS (SELECT a.u AS a, b.u AS b FROM h a JOIN h b ON a.u <> b.u AND bit_count(xor(a.u, b.u)) <= 4)
         SELECT CASE WHEN h.u >= 9223372036854775808 THEN CAST(CAST(h.u AS HUGEINT) - 18446744073709551616 AS BIGINT) ELSE CAST(h.u AS BIGINT) END AS dhash, count(l.b) AS links FROM h LEFT JOIN l ON l.a = h.u GROUP BY h.u""",
-    "agg04_joi09_audit": "SELECT unnest(['group', 'pixel', 'dhash', 'near']) AS \"check\", CAST(0 AS BIGINT) AS violations",
+    "agg04_joi09_audit": f"""WITH r AS (SELECT DISTINCT {_GROUP} AS g, {_hash('pixel_sha256', 64)} AS p, CAST('0x' || {_hash('dhash', 16)} AS UBIGINT) AS h FROM manifest), s AS (SELECT * FROM r WHERE g IS NOT NULL), d AS (SELECT DISTINCT h FROM s WHERE h IS NOT NULL)
+        SELECT 'group' AS "check", count(*) AS violations FROM (SELECT g FROM s GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'pixel', count(*) FROM (SELECT p FROM s WHERE p IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+        UNION ALL SELECT 'dhash', count(*) FROM (SELECT h FROM s WHERE h IS NOT NULL GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'near', count(*) FROM d a JOIN d b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 4""",
     "set04_differences": "SELECT (SELECT count(*) FROM (SELECT sample_id FROM manifest WHERE batch_no = 0 EXCEPT SELECT sample_id FROM manifest WHERE batch_no > 0)) AS only_old, (SELECT count(*) FROM (SELECT sample_id FROM manifest WHERE batch_no > 0 EXCEPT SELECT sample_id FROM manifest WHERE batch_no = 0)) AS only_new",
     "srt03_slice": "SELECT DISTINCT eval_id FROM eval_record WHERE eval_id IS NOT NULL ORDER BY eval_id OFFSET 10 LIMIT 25",
     "scl26_area_buckets": f"WITH {_M} SELECT {_area('lowres_size')} AS bucket, count(*) AS n FROM m GROUP BY 1",

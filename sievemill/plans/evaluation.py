@@ -90,8 +90,8 @@ def agg30(spark, d):
 
 def win08(spark, d):
     rows = _evals(spark, d).filter("tool_reward IS NOT NULL").withColumn("diff", F.abs(F.col("vision_ratio_true") - F.col("vision_ratio")))
-    # A sample has a handful of records.
-    order = Window.partitionBy("sample_id").orderBy(F.desc("diff"), "eval_id")
+    # A sample has a handful of records; those without one stand alone, so they are no hot key.
+    order = Window.partitionBy("sample_id", F.when(F.col("sample_id").isNull(), F.col("eval_id"))).orderBy(F.desc("diff"), "eval_id")
     return rows.withColumn("rank", F.row_number().over(order)).filter("rank <= 2").select("sample_id", "eval_id", rounded(F.col("diff")).alias("diff"), "rank")
 
 
@@ -131,7 +131,7 @@ def agg28(spark, d):
 
 
 def agg27(spark, d):
-    return metrics.fingerprint(_evals(spark, d), ["sample_id"], "eval_id", F.col("vision_tokens_acquired"))
+    return metrics.fingerprint(_evals(spark, d).filter("sample_id IS NOT NULL"), ["sample_id"], "eval_id", F.col("vision_tokens_acquired"))
 
 
 def flt12(spark, d):
@@ -239,12 +239,12 @@ SQL = {
         round(avg(CAST(ac AS DOUBLE) - CAST(bc AS DOUBLE)), 6) AS accuracy_delta, round(avg(asc_ - bsc), 6) AS score_delta, count(*) FILTER (WHERE asc_ <> bsc) AS changed,
         count(*) FILTER (WHERE NOT bc AND ac) AS wrong_to_correct, count(*) FILTER (WHERE bc AND NOT ac) AS correct_to_wrong FROM j""",
     "agg23_largest": f"WITH {_E} SELECT dataset, m.t AS vision_tokens_processed, m.i AS eval_id FROM (SELECT dataset, max({{'t': vision_tokens_processed, 'i': eval_id}}) AS m FROM e GROUP BY 1)",
-    "agg27_fingerprints": f"WITH {_E} SELECT sample_id, sha256(string_agg(p, chr(10) ORDER BY p)) AS fingerprint FROM (SELECT DISTINCT sample_id, eval_id || '=' || coalesce(CAST(vision_tokens_acquired AS VARCHAR), 'null') AS p FROM e) GROUP BY 1",
+    "agg27_fingerprints": f"WITH {_E} SELECT sample_id, sha256(string_agg(p, chr(10) ORDER BY p)) AS fingerprint FROM (SELECT DISTINCT sample_id, eval_id || '=' || coalesce(CAST(vision_tokens_acquired AS VARCHAR), 'null') AS p FROM e WHERE sample_id IS NOT NULL) GROUP BY 1",
     "agg28_two_level_mean": f"WITH {_E} SELECT round(avg(m), 6) AS mean, count(m) AS rows FROM (SELECT avg(vision_tokens_acquired) AS m FROM e GROUP BY sample_id)",
     "agg29_last_active": "SELECT user_id, arg_max(event_type = 'purchase', event_id) FILTER (WHERE value > 50) AS success FROM events GROUP BY 1",
     "agg30_best": f"WITH {_E}, a AS (SELECT dataset, avg(CAST(correct AS DOUBLE)) AS accuracy FROM e GROUP BY 1) SELECT dataset, round(accuracy, 6) AS accuracy FROM a ORDER BY round(accuracy, 12) DESC, dataset LIMIT 1",
     "agg32_run_status": f"WITH {_E} SELECT eval_id, CASE WHEN correct AND final_answer_valid THEN 'completed' WHEN correct THEN 'incomplete' WHEN used_tool THEN 'signal 9' ELSE 'failed' END AS status FROM e",
-    "win08_top_differences": f"WITH {_E} SELECT sample_id, eval_id, round(diff, 6) AS diff, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY diff DESC NULLS LAST, eval_id) AS rank FROM (SELECT *, abs(vision_ratio_true - vision_ratio) AS diff FROM e WHERE tool_reward IS NOT NULL)) WHERE rank <= 2",
+    "win08_top_differences": f"WITH {_E} SELECT sample_id, eval_id, round(diff, 6) AS diff, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, CASE WHEN sample_id IS NULL THEN eval_id END ORDER BY diff DESC NULLS LAST, eval_id) AS rank FROM (SELECT *, abs(vision_ratio_true - vision_ratio) AS diff FROM e WHERE tool_reward IS NOT NULL)) WHERE rank <= 2",
     "win09_focus": f"WITH {_E} SELECT sample_id, dataset, max(round(abs(vision_ratio_true - vision_ratio), 6)) AS diff FROM e WHERE vision_ratio_true - vision_ratio IS NOT NULL GROUP BY 1, 2 ORDER BY diff DESC, sample_id NULLS FIRST, dataset LIMIT 4",
     "win10_moving_average": "SELECT user_id, round(list_reduce(list(value ORDER BY event_id) FILTER (WHERE value > 0), lambda a, v: 0.25::DOUBLE * v + 0.75::DOUBLE * a), 6) AS ema, count(*) AS seen FROM events GROUP BY 1",
     "scl51_nested_get": "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events",

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..operators import labels
-from ..operators.metrics import mean, rounded
+from ..operators.metrics import PLACES, mean, rounded
+from ..operators.quantiles import with_quantiles
 from ..session import table
 
 
@@ -28,16 +29,17 @@ def agg20(spark, d):
     rows = _annotations(spark, d)
     usage = lambda k: F.sum(F.coalesce(F.try_element_at("annotation_meta.usage", F.lit(k)), F.lit(0)))
     box = F.get("region_annotation.reference_boxes", F.lit(0))
-    return rows.agg(
+    out = rows.agg(
         F.count("*").alias("rows"),
         F.count(F.when(F.col("annotation_error").isNotNull(), 1)).alias("errors"),
         F.count(F.when(labels.accepted(), 1)).alias("accepted"),
         usage("prompt_tokens").alias("prompt_tokens"),
         usage("completion_tokens").alias("completion_tokens"),
         mean("annotation_meta.elapsed_seconds").alias("mean_seconds"),
-        rounded(F.percentile(F.when(geometry.is_box(box), geometry.area(box)), F.lit(0.5))).alias("median_area"),
         F.concat_ws(",", F.sort_array(F.collect_set("annotation_meta.requested_model"))).alias("models"),
     )
+    areas = rows.select(F.when(geometry.is_box(box), geometry.area(box)).alias("area"))
+    return with_quantiles(out, areas, [], "area", {"median_area": 0.5}, PLACES)
 
 
 def scl22(spark, d):

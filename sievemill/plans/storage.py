@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
-from ..operators import checks
-from ..session import Workspace, table
-from ..sources import arrow_ipc, files
+from ..functions.normal import normal_flag
+from ..operators import checks, labels
+from ..session import Workspace, hadoop_path, table
+from ..sources import arrow_ipc, bundles, files, windows
 
 
 def _place(spark, name: str) -> str:
@@ -84,7 +87,48 @@ def src05(spark, d):
     return arrow_ipc.looked_up(shards, wanted, F.sha2("text", 256), "recorded").select("doc_id", "unchanged")
 
 
+def src10(spark, d):
+    """The nations, a fixed number, served in three windows."""
+    spark.dataSource.register(windows.RowWindows)
+    folder, rows = _place(spark, "served"), table(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").limit(100).collect()
+    for offset in (0, 10, 20):
+        own = [{"row_idx": i, "row": r.asDict()} for i, r in enumerate(rows) if offset <= i < offset + 10]
+        path, fs = hadoop_path(spark, f"{folder}/rows_{offset}.json")
+        stream = fs.create(path)
+        stream.write(bytearray(json.dumps({"rows": own}).encode()))
+        stream.close()
+    address = hadoop_path(spark, folder)[0].toUri().getPath()
+    found = spark.read.format("row_windows").option("offsets", "0,10,20").option("length", 10).load(f"file://{address}/rows_{{offset}}.json")
+    return found.select("row_index", "window", F.get_json_object("row", "$.n_name").alias("name"))
+
+
+def prj17(spark, d):
+    """Review-gallery records: labels with what their pictures are called."""
+    rows = labels.annotations_once(table(spark, d, "annotations"))
+    boxes = F.col("region_annotation.reference_boxes_pixels")
+    picture = lambda folder, end: F.concat(F.lit(f"assets/{folder}/"), F.col("sample_id"), F.lit(end))
+    return rows.select(
+        "annotation_id",
+        "sample_id",
+        "question",
+        "answers",
+        F.col("region_annotation.answer_from_image").alias("answer_from_image"),
+        F.col("region_annotation.status").alias("status"),
+        F.coalesce("quality_checks.answer_match.match", F.lit(False)).alias("strict_answer_match"),
+        F.coalesce(normal_flag("source_info.use_tool"), F.lit(False)).alias("use_tool"),
+        "width",
+        "height",
+        F.coalesce(F.size(boxes), F.lit(0)).alias("boxes"),
+        picture("overlays", ".png").alias("overlay"),
+        F.when(F.size(boxes) > 0, picture("crops", ".png")).alias("model_crop"),
+        picture("editor", ".jpg").alias("editor"),
+    )
+
+
 QUERIES = {
+    "src10_row_windows": src10,
+    "prj17_gallery_records": prj17,
+    "scl15_clipped": lambda s, d: table(s, d, "documents").select("doc_id", bundles.clipped("text").alias("text")),
     "src01_snk01_json_lines": src01,
     "src02_strict_json_lines": lambda s, d: src01(s, d, True),
     "src03_whole_json": src03,
@@ -99,7 +143,14 @@ QUERIES = {
     "snk06_snk07_assets": snk06,
 }
 
+_SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+
 SQL = {
+    "src10_row_windows": "SELECT n_nationkey AS row_index, n_nationkey // 10 * 10 AS window, n_name AS name FROM nation",
+    "prj17_gallery_records": f"""WITH a AS (SELECT DISTINCT ON (annotation_id) *, region_annotation.reference_boxes_pixels AS b FROM annotations)
+        SELECT annotation_id, sample_id, question, answers, region_annotation.answer_from_image AS answer_from_image, region_annotation.status AS status, coalesce(quality_checks.answer_match.match, FALSE) AS strict_answer_match,
+        coalesce(lower(regexp_replace(source_info.use_tool, '^{_SPACE}+|{_SPACE}+$', '', 'g')) IN ('true', '1'), FALSE) AS use_tool, width, height, CAST(coalesce(len(b), 0) AS INTEGER) AS boxes,
+        'assets/overlays/' || sample_id || '.png' AS overlay, CASE WHEN len(b) > 0 THEN 'assets/crops/' || sample_id || '.png' END AS model_crop, 'assets/editor/' || sample_id || '.jpg' AS editor FROM a""",
     "src01_snk01_json_lines": "SELECT * FROM review_edit",
     "src02_strict_json_lines": "SELECT * FROM review_edit",
     "src03_whole_json": "SELECT * FROM nation",

@@ -1,7 +1,13 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sievemill.functions import actions, shape
-from sievemill.operators import checks, labels, sampling, trajectory, turns
+from sievemill.operators import checks, labels, quantiles, sampling, trajectory, turns
+from sievemill.sources import bundles
 
 
 def rows(df):
@@ -79,3 +85,34 @@ def test_moving_average_and_first_ranks(spark):
     ranked = spark.range(50).withColumn("digest", sampling.rank_digest(F.col("id").cast("string"), 1))
     assert rows(sampling.first_ranks(ranked, 7).select("digest")) == sorted(rows(ranked.select("digest")))[:7]
     assert sampling.first_ranks(ranked.limit(0), 7).count() == 0
+
+
+def test_quantiles(spark):
+    rng = random.Random(7)
+    data = [(rng.choice(["a", "a", "b", None]), rng.choice([None, rng.random(), 0.5])) for _ in range(300)] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {r["k"]: r for r in quantiles.quantiles(df, ["k"], "v", {"lo": 0.0, "mid": 0.37, "hi": 1.0}).collect()}
+    for k in {k for k, v in data if v is not None}:
+        own = np.array([v for j, v in data if j == k and v is not None])
+        assert np.allclose([got[k]["lo"], got[k]["mid"], got[k]["hi"]], np.quantile(own, [0.0, 0.37, 1.0]))
+    assert "none" not in got and quantiles.quantiles(df.limit(0), ["k"], "v", {"m": 0.5}).count() == 0
+    whole = quantiles.quantiles(df, [], "v", {"m": 0.5}).head()["m"]
+    assert np.isclose(whole, np.median([v for _, v in data if v is not None]))
+
+
+def test_small_files(spark, tmp_path):
+    assert bundles.configured({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}, overrides=["a.d.e=[1]", "f=x y"]) == {"a": {"b": 3, "c": 2, "d": {"e": [1]}}, "f": "x y"}
+    folder = tmp_path / "run"
+    (folder / "sub").mkdir(parents=True)
+    for name in ("a.json", "sub/b.md", "weights.bin"):
+        (folder / name).write_text(name)
+    assert bundles.bundle(str(folder), str(tmp_path / "run.zip")) == ["run/a.json", "run/sub/b.md"]
+    good = {n: hashlib.sha256(n.encode()).hexdigest() for n in ("a.json", "sub/b.md")}
+    assert bundles.frozen(str(folder), good, str(tmp_path / "kept")) == good
+    with pytest.raises(ValueError, match="a.json"):
+        bundles.frozen(str(folder), good | {"a.json": "0"}, str(tmp_path / "other"))
+    assert not (tmp_path / "other").exists()
+    texts = [None, "", "short\nline", "word " * 60]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(bundles.clipped("t")).collect()]
+    assert got[:3] == [None, "", "short line"] and got[3].count("\n") == 1 and got[3].endswith("wor…")
+    assert spark.range(1).select(bundles.now()).head()[0].endswith("+00:00")
