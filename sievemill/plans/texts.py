@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import actions, answers
 from ..operators import labels, turns
-from ..operators.metrics import mean
+from ..operators.metrics import mean, rounded
 from ..session import table
 
 
@@ -29,7 +29,7 @@ def scl03(spark, d):
 
 
 def scl04(spark, d):
-    return _answered(spark, d).select("annotation_id", answers.credit_of("prediction", "answers").alias("score"))
+    return _answered(spark, d).select("annotation_id", rounded(answers.credit_of("prediction", "answers")).alias("score"))
 
 
 def scl07(spark, d):
@@ -64,8 +64,49 @@ QUERIES = {
 _TRIMMED = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 _INNER = _TRIMMED.format("regexp_extract(text, '(?s)<answer>(.*?)</answer>', 1)")
 _BARE = f"CASE WHEN starts_with({_INNER}, '\\boxed{{') AND ends_with({_INNER}, '}}') THEN {_TRIMMED.format(f'substr({_INNER}, 8, length({_INNER}) - 8)')} WHEN starts_with({_INNER}, '\\fbox{{') AND ends_with({_INNER}, '}}') THEN {_TRIMMED.format(f'substr({_INNER}, 7, length({_INNER}) - 7)')} ELSE {_INNER} END"
+_SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+
+
+def _normal(c: str) -> str:
+    """Compatibility forms and case folding as far as the tables have them: lower case and sharp s."""
+    return rf"regexp_replace(trim(regexp_replace(replace(lower({c}), 'ß', 'ss'), '{_SPACE}+', ' ', 'g')), '[.。]+$', '')"
+
+
+def _plain(c: str) -> str:
+    return rf"CASE WHEN regexp_full_match({c}, '[+-]?(\d{{1,3}}(,\d{{3}})+|\d+)(\.\d+)?(e[+-]?\d+)?') THEN replace({c}, ',', '') END"
+
+
+def _loose(c: str, chart: bool = False) -> str:
+    """A number of the benchmark's grammar; for charts without dollar and percent signs around it."""
+    bare = f"replace(trim({c}), ',', '')"
+    bare = f"regexp_replace({bare}, '^[$% ]+|[$% ]+$', '', 'g')" if chart else bare
+    bare = f"regexp_replace({bare}, '°+$', '')"
+    return rf"CASE WHEN regexp_full_match({bare}, '[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?') THEN CAST({bare} AS DOUBLE) END"
+
+
+def _each(of) -> str:
+    return f"list_transform(goals, lambda g: {of('g')})"
+
+
+_ANSWERED = f"""r AS (SELECT DISTINCT ON (annotation_id) annotation_id, data_source, {_normal('region_annotation.answer_from_image')} AS p, list_transform(list_filter(coalesce(answers, []), lambda a: a IS NOT NULL), lambda a: {_normal('a')}) AS goals FROM annotations),
+    n AS (SELECT *, {_plain('p')} AS number, {_each(_plain)} AS numbers FROM r),
+    m AS (SELECT *, CASE WHEN p IS NULL THEN 'unmatched_requires_review' WHEN list_contains(goals, p) THEN 'normalized_exact' WHEN len(list_filter(numbers, lambda x: CAST(x AS DOUBLE) = CAST(number AS DOUBLE))) > 0 THEN 'numeric_exact' ELSE 'unmatched_requires_review' END AS method FROM n)"""
+_LETTERS = "list_filter(list_transform(goals, lambda g: upper(trim(g))), lambda c: c IN ('A', 'B', 'C', 'D', 'E'))"
+_SQUEEZED = "regexp_replace({0}, ' ', '', 'g')"
 
 SQL = {
+    "scl01_normal_answers": f"WITH {_ANSWERED} SELECT annotation_id, p AS answer FROM r",
+    "scl02_numbers": f"WITH {_ANSWERED} SELECT annotation_id, number FROM n",
+    "scl03_joi19_matches": f"WITH {_ANSWERED} SELECT annotation_id, method <> 'unmatched_requires_review' AS match, method FROM m",
+    "scl04_partial_credit": f"""WITH {_ANSWERED} SELECT annotation_id, round(CASE WHEN method <> 'unmatched_requires_review' THEN 1.0::DOUBLE ELSE least(0.9999::DOUBLE, greatest(0.0::DOUBLE, coalesce(list_max(list_transform(list_filter(numbers, lambda x: x IS NOT NULL AND starts_with(x, '-') = starts_with(number, '-')),
+        lambda x: 1 - abs(CAST(x AS DOUBLE) - CAST(number AS DOUBLE)) / greatest(abs(CAST(x AS DOUBLE)), abs(CAST(number AS DOUBLE))))), 0.0))) END, 6) AS score FROM m""",
+    "scl07_benchmark_scores": rf"""WITH {_ANSWERED}, k AS (SELECT *, {_loose('p', True)} AS chart, {_each(lambda c: _loose(c, True))} AS charts, {_loose('p')} AS plain, {_each(_loose)} AS plains FROM m),
+        s AS (SELECT annotation_id, CASE WHEN p IS NULL THEN 'invalid_format' WHEN method <> 'unmatched_requires_review' THEN method
+        WHEN data_source = 'pier_sheets' THEN CASE WHEN len(list_filter(charts, lambda g: abs(chart - g) <= abs(g) * 0.05::DOUBLE)) > 0 THEN 'chartqa_numeric_5pct' ELSE 'unmatched' END
+        WHEN data_source = 'shop_receipts' THEN CASE WHEN len(list_filter(goals, lambda g: {_SQUEEZED.format('g')} <> '' AND contains({_SQUEEZED.format('p')}, {_SQUEEZED.format('g')}))) > 0 THEN 'ocrbench_substring' ELSE 'unmatched' END
+        WHEN annotation_id % 2 = 0 AND len(list_filter({_LETTERS}, lambda c: regexp_full_match(p, '(option|choice|answer( is)?)\s*[::]?\s*' || lower(c)))) > 0 THEN 'mathverse_choice_letter'
+        WHEN len(list_filter(plains, lambda g: g = plain)) > 0 THEN 'mathverse_numeric_exact' ELSE 'unmatched' END AS method FROM k)
+        SELECT annotation_id, method NOT IN ('invalid_format', 'unmatched') AS correct, method FROM s""",
     "scl09_says_something": r"SELECT doc_id, coalesce(length(regexp_replace(text, '[\s\p{Z}\x{85}.…]', '', 'g')) > 0, FALSE) AS something FROM documents",
     "scl11_answer_candidates": f"SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '(?s)<answer>.*?</answer>')) = 1 THEN nullif({_BARE}, '') END AS candidate FROM documents",
     "scl14_placeholders": "SELECT doc_id, CAST(coalesce((length(text) - length(replace(text, '<image>', ''))) // 7, 0) AS INTEGER) AS images FROM documents",
