@@ -10,7 +10,8 @@ from ..streaming import state
 
 def windows(spark, d):
     ship(spark)
-    return state.run(state.windowed_counts(state.event_stream(spark, d)), "complete")
+    rows = state.run(state.windowed_counts(state.event_stream(spark, d)), "update")
+    return rows.groupBy("start", "event_type").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))  # the last update of each window
 
 
 def averages(spark, d):

@@ -37,7 +37,7 @@ def run(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Tumbling windows by event type; later than ``late`` events are dropped in append mode."""
+    """Tumbling windows by event type; a window older than ``late`` leaves the state, and events for it are dropped."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "total")
 
 
