@@ -90,7 +90,7 @@ def src05(spark, d):
 def src10(spark, d):
     """The nations, a fixed number, served in three windows."""
     spark.dataSource.register(windows.RowWindows)
-    folder, rows = _place(spark, "served"), table(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").limit(100).collect()
+    folder, rows = _place(spark, "served"), table(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()
     for offset in (0, 10, 20):
         own = [{"row_idx": i, "row": r.asDict()} for i, r in enumerate(rows) if offset <= i < offset + 10]
         path, fs = hadoop_path(spark, f"{folder}/rows_{offset}.json")

@@ -100,6 +100,8 @@ SQL = {
     "scl03_joi19_matches": f"WITH {_ANSWERED} SELECT annotation_id, method <> 'unmatched_requires_review' AS match, method FROM m",
     "scl04_partial_credit": f"""WITH {_ANSWERED} SELECT annotation_id, round(CASE WHEN method <> 'unmatched_requires_review' THEN 1.0::DOUBLE ELSE least(0.9999::DOUBLE, greatest(0.0::DOUBLE, coalesce(list_max(list_transform(list_filter(numbers, lambda x: x IS NOT NULL AND starts_with(x, '-') = starts_with(number, '-')),
         lambda x: 1 - abs(CAST(x AS DOUBLE) - CAST(number AS DOUBLE)) / greatest(abs(CAST(x AS DOUBLE)), abs(CAST(number AS DOUBLE))))), 0.0))) END, 6) AS score FROM m""",
+    "scl04_mean_credit": f"""WITH {_ANSWERED} SELECT round(avg(CASE WHEN method <> 'unmatched_requires_review' THEN 1.0::DOUBLE ELSE round(least(0.9999::DOUBLE, greatest(0.0::DOUBLE, coalesce(list_max(list_transform(list_filter(numbers, lambda x: x IS NOT NULL AND starts_with(x, '-') = starts_with(number, '-')),
+        lambda x: 1 - abs(CAST(x AS DOUBLE) - CAST(number AS DOUBLE)) / greatest(abs(CAST(x AS DOUBLE)), abs(CAST(number AS DOUBLE))))), 0.0))), 6) END), 6) AS score FROM m""",
     "scl07_benchmark_scores": rf"""WITH {_ANSWERED}, k AS (SELECT *, {_loose('p', True)} AS chart, {_each(lambda c: _loose(c, True))} AS charts, {_loose('p')} AS plain, {_each(_loose)} AS plains FROM m),
         s AS (SELECT annotation_id, CASE WHEN p IS NULL THEN 'invalid_format' WHEN method <> 'unmatched_requires_review' THEN method
         WHEN data_source = 'pier_sheets' THEN CASE WHEN len(list_filter(charts, lambda g: abs(chart - g) <= abs(g) * 0.05::DOUBLE)) > 0 THEN 'chartqa_numeric_5pct' ELSE 'unmatched' END
